@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op2_decontaminate
+from .html import op1_html
+from .licenses import op9_licenses
 from .quality import op10_quality_rules
+from .secrets import op8_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op10_quality_rules]
+    found = [op1_html, op2_decontaminate, op8_secrets, op9_licenses, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
