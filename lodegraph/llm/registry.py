@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op2_decontaminate
 from .html import op1_html
+from .jaccard import op7_jaccard
 from .licenses import op9_licenses
 from .pieces import op3_pieces
 from .quality import op10_quality_rules
@@ -16,7 +17,7 @@ from .token_files import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html, op2_decontaminate, op3_pieces, op5_token_files, op8_secrets, op9_licenses, op10_quality_rules]
+    found = [op1_html, op2_decontaminate, op3_pieces, op5_token_files, op7_jaccard, op8_secrets, op9_licenses, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
