@@ -8,7 +8,8 @@ Sets of hashed shingles are judged exactly; nothing that links is lost:
    linked sets agree on a whole part, so each part's digest is a list in the index.  Lists are split into
    blocks by set size (a size class and the next), so that a set skips all blocks whose sizes can't link.  A part without
    shingles says nothing; m grows by the number of empty parts that a set may leave out, chosen so that hardly any set
-   has more, and a set that has puts its empty parts into the index as well.
+   has more, and a set that has puts its empty parts into the index as well.  Of its lists a set needs only
+   the shortest, one more than the parts in which a linked set may differ (prefix filter over whole parts).
 3. Answers from answers.  In each list one set leads; only the pairs (leader, member) are judged, and a linked member
    takes over the leader's component, so that the members of a list of copies are never compared with each other.
    Further rounds lead with other sets, chosen by a hash, over the lists whose members are not in one component yet.
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, table, text_bytes
@@ -119,27 +120,36 @@ class Plan:
         high = self.lows[k + 1] - 1
         return self.parts(-(-self.percent * (high + 1) // 100), high + 100 * high // self.percent)
 
-    def keys(self, own: np.ndarray) -> np.ndarray:
-        """The lists of a set."""
-        out = []
+    def most_apart(self, n: int, block: int) -> int:
+        """Most shingles by which a set of n differs from one that it links with in this block."""
+        border = self.lows[(block + 1) // 2] - 1 if block % 2 else self.lows[block // 2 + 1] - 1
+        partner = 100 * n // self.percent if block % 2 and n <= border else min(border, 100 * n // self.percent)
+        return (n + partner) * (100 - self.percent) // (100 + self.percent)
+
+    def keys(self, own: np.ndarray) -> tuple[np.ndarray, list[dict[str, int]]]:
+        """The lists of a set (the last byte is the block), and for each block how many they are and how many of the shortest are enough."""
+        out, blocks = [], []
         for block, m, empty in self.blocks(len(own)):
             part = (mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(11)) % np.uint64(m)
             counts = np.bincount(part.astype(np.int64), minlength=m)
             total = np.zeros(m, np.uint64)
             np.add.at(total, part.astype(np.int64), mix(own))
             keys = mix(mix(total + counts.astype(np.uint64)) + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(block * 7919 + 1))
-            out.append(keys[counts > 0] if (counts == 0).sum() <= empty else keys)
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            every = (counts == 0).sum() > empty  # a partner may leave out up to `empty` of the parts that are equal
+            keys = keys if every else keys[counts > 0]
+            out.append(keys & ~np.uint64(255) | np.uint64(block & 255))
+            blocks.append({"block": block & 255, "lists": len(keys), "enough": self.most_apart(len(own), block) + 1 + empty * int(every)})
+        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64), blocks
 
 
 def index_lists(docs: DataFrame, n: int, plan: Plan) -> DataFrame:
-    """doc_id, n_shingles, fp (0: no shingles), keys (null where this task gave them before for the same set)."""
+    """doc_id, n_shingles, fp (0: no shingles), keys and blocks (null where this task gave them before for the same set)."""
 
     def make() -> Callable:
         words, seen = Words(), set()
 
         def f(columns: list[list]) -> list[list]:
-            sizes, fps, keys = [], [], []
+            sizes, fps, keys, blocks = [], [], [], []
             for data in columns[1]:
                 own = shingles(data, n, words)
                 sizes.append(len(own))
@@ -148,17 +158,20 @@ def index_lists(docs: DataFrame, n: int, plan: Plan) -> DataFrame:
                 fps.append(fp)
                 if not len(own) or fp in seen:
                     keys.append(None)
+                    blocks.append(None)
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(fp)
-                keys.append(plan.keys(own))
-            return [columns[0], sizes, fps, keys]
+                k, b = plan.keys(own)
+                keys.append(k)
+                blocks.append(b)
+            return [columns[0], sizes, fps, keys, blocks]
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", text_bytes().alias("t")), make, f"doc_id {kind}, n_shingles bigint, fp bigint, keys array<bigint>")
+    return map_rows(docs.select("doc_id", text_bytes().alias("t")), make, f"doc_id {kind}, n_shingles bigint, fp bigint, keys array<bigint>, blocks array<struct<block:int,lists:int,enough:int>>")
 
 
 def judged(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -214,9 +227,28 @@ def judged(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent:
     return dealt.mapInArrow(run, "a bigint, b bigint, common bigint, size_a bigint, size_b bigint, linked boolean")
 
 
+def shortest(found: DataFrame, needs: DataFrame) -> DataFrame:
+    """key, fp: of each set the shortest lists that are enough.
+
+    Linked sets differ in at most `enough` - 1 parts, so they share one of their `enough` shortest lists in a common
+    order; lists that a set has alone count as its shortest ones."""
+    own = found.withColumn("block", F.col("key").bitwiseAND(F.lit(255)).cast("int"))
+    by = Window.partitionBy("fp", "block")
+    ranked = own.select("key", "fp", "block", F.count(F.lit(1)).over(by).alias("n"), F.row_number().over(by.orderBy("size", "key")).alias("r"))
+    kept = ranked.join(needs, ["fp", "block"]).where("r + lists - n <= enough").select("key", "fp")
+    several = kept.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v").select("key")
+    return kept.join(several, "key", "left_semi")
+
+
 def leading(lists: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs (a, b): each list's leader, by a hash that is another each turn, with each other member."""
-    lead = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("o"), F.col("fp").alias("a"))).alias("l")).select("key", F.col("l.a").alias("a"))
+    """Distinct pairs (a, b): each list's leader with each other member.  The set leads that shares lists with most
+    others (an original does so more than its copies); in later turns the least by a hash that is another each turn."""
+    if turn:
+        ordered = lists.withColumn("o", F.xxhash64("fp", F.lit(turn)))
+    else:
+        mates = lists.join(lists.groupBy("key").count(), "key").groupBy("fp").agg((-F.sum("count")).alias("o"))
+        ordered = lists.join(mates, "fp")
+    lead = ordered.groupBy("key").agg(F.min(F.struct("o", F.col("fp").alias("a"))).alias("l")).select("key", F.col("l.a").alias("a"))
     return lists.join(lead, "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
@@ -229,8 +261,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2) -> D
     sets = materialize(sets, "jaccard-sets")
     # one exchange serves both the lists and the test for two sets or more: there the least and the greatest fingerprint differ
     keyed = indexed.where("keys is not null").select("fp", F.explode("keys").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v").select("key")
-    lists = materialize(keyed.join(shared, "key", "left_semi").distinct(), "jaccard-lists")
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.count(F.lit(1)).alias("size")).where("u <> v").select("key", "size")
+    found = materialize(keyed.join(shared, "key").distinct(), "jaccard-shared")
+    needs = indexed.where("keys is not null").select("fp", F.inline("blocks")).distinct()
+    lists = materialize(shortest(found, needs), "jaccard-lists")
 
     tried = roots = None
     for k in range(rounds + 1):
