@@ -170,10 +170,11 @@ class Builder:
     def match(self, scope: Scope, paths: list) -> Scope:
         hops: list[tuple[str, list[EdgeTable]]] = []
         # paths with a bound variable come first, so that disconnected parts are joined as late as can be
-        todo = list(paths)
+        labels = {n.var: n.labels for p in paths for n in p.nodes if n.labels}
+        todo = [replace(p, nodes=tuple(n if n.labels else replace(n, labels=labels.get(n.var, ())) for n in p.nodes)) for p in paths]
         while todo:
             bound = set(scope.vars)
-            todo.sort(key=lambda p: not any(n.var in bound for n in p.nodes))
+            todo.sort(key=lambda p: (bool(p.shortest), not any(n.var in bound for n in p.nodes)))
             scope = self.path(scope, todo.pop(0), hops)
         for i, (r, one) in enumerate(hops):
             for q, two in hops[:i]:
