@@ -263,10 +263,10 @@ def _date_diff(part, a, b):
     if part in MONTHS:
         months = lambda x: F.year(x) * 12 + F.month(x) - 1
         return (F.floor(months(b) / MONTHS[part]) - F.floor(months(a) / MONTHS[part])).cast("long")
-    if part in ("day", "week"):
-        days = lambda x: F.unix_date(F.to_date(x)) + 3  # noqa: E731  Mondays divide by 7
+    if part in ("day", "week"):  # weeks are counted from the epoch's day
         size = 7 if part == "week" else 1
-        return (F.floor(days(b) / size) - F.floor(days(a) / size)).cast("long")
+        days = lambda x: (F.unix_date(F.to_date(x)) / size).cast("long")
+        return days(b) - days(a)
     micros = lambda x: F.unix_micros(x.cast("timestamp"))
     return (F.floor(micros(b) / MICROS[part]) - F.floor(micros(a) / MICROS[part])).cast("long")
 
@@ -313,7 +313,7 @@ SCALAR["date"] = lambda x=None: F.current_date() if x is None else F.to_date(x)
 SCALAR["datetime"] = lambda x=None: F.current_timestamp() if x is None else F.to_timestamp(x)
 
 # -- lists, maps, values
-SCALAR |= dict.fromkeys(("list_value", "list_pack", "list_creation", "list"), lambda *xs: F.array(*xs))
+SCALAR |= dict.fromkeys(("list_value", "list_pack", "list_creation"), lambda *xs: F.array(*xs))
 SCALAR |= {"coalesce": F.coalesce, "nullif": F.nullif, "ifnull": F.coalesce, "flatten": F.flatten, "cardinality": lambda x: F.size(x).cast("long"), "map_extract": F.element_at}
 
 

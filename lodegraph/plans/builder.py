@@ -567,6 +567,7 @@ class Expressions:
     def __init__(self, builder: Builder, scope: Scope, subs: dict[int, Column], agg: dict | None):
         self.b, self.scope, self.subs, self.agg = builder, scope, subs, agg
         self.local: dict[str, Column] = {}
+        self.local_types: dict[str, T.DataType | None] = {}
         self.ready = False
 
     def of(self, x: Any) -> Column:
@@ -611,20 +612,19 @@ class Expressions:
                 return F.lit(None)  # a property that no vertex of the label has
         base = self.of(x.of)
         low = x.name.lower()
-        if low in SCALAR and low in ("year", "month", "day", "hour", "minute", "second", "quarter", "week", "epochmillis", "millisecond", "microsecond") and self.is_time(base):
+        if low in ("year", "month", "day", "hour", "minute", "second", "quarter", "week", "epochmillis", "millisecond", "microsecond") and isinstance(self.kind_of(x.of), (T.DateType, T.TimestampType, T.TimestampNTZType)):
             return SCALAR[low](base)
         return base.getField(x.name)
 
-    def is_time(self, x: Column) -> bool:
-        if self.local:
-            return True
-        return isinstance(self.scope.df.select(x.alias("x")).schema[0].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
-
-    def kind_of(self, x: Column) -> T.DataType | None:
-        if self.local:
+    def kind_of(self, x: Any) -> T.DataType | None:
+        """The type of a tree; None where it can't be told (an aggregate within, a lambda's variable of unknown type)."""
+        shadow = Expressions(self.b, self.scope, self.subs, None)
+        if any(t is None for t in self.local_types.values()):
             return None
+        shadow.local = {k: F.lit(None).cast(t) for k, t in self.local_types.items()}
+        shadow.local_types, shadow.ready = self.local_types, self.ready
         try:
-            return self.scope.df.select(x.alias("x")).schema[0].dataType
+            return self.scope.df.select(shadow.of(x).alias("x")).schema[0].dataType
         except Exception:
             return None
 
@@ -643,26 +643,39 @@ class Expressions:
     def _slice(self, x: A.Slice) -> Column:
         return list_slice(self.of(x.of), None if x.begin is None else self.of(x.begin), None if x.end is None else self.of(x.end))
 
-    def within(self, **names: Column) -> Expressions:
+    def within(self, types: dict[str, T.DataType | None], **names: Column) -> Expressions:
         out = Expressions(self.b, self.scope, self.subs, self.agg)
-        out.local, out.ready = self.local | names, self.ready
+        out.local, out.local_types, out.ready = self.local | names, self.local_types | types, self.ready
         return out
 
+    def element(self, x: Any) -> T.DataType | None:
+        return getattr(self.kind_of(x), "elementType", None)
+
     def _comprehension(self, x: A.Comprehension) -> Column:
-        source = self.elements(x.source)
+        source, kind = self.of(x.source), {x.var: self.element(x.source)}
         if x.where is not None:
-            source = F.filter(source, lambda v: F.coalesce(self.within(**{x.var: v}).of(x.where), F.lit(False)))
-        return source if x.result is None else F.transform(source, lambda v: self.within(**{x.var: v}).of(x.result))
-
-    def elements(self, x: Any) -> Column:
-        """A list; nodes(p) as vertices with their properties where these can be looked up by one column, else as ids."""
-        return self.of(x)
+            source = F.filter(source, lambda v: F.coalesce(self.within(kind, **{x.var: v}).of(x.where), F.lit(False)))
+        return source if x.result is None else F.transform(source, lambda v: self.within(kind, **{x.var: v}).of(x.result))
 
     def _reduce(self, x: A.Reduce) -> Column:
-        return F.aggregate(self.of(x.source), self.of(x.start), lambda a, v: self.within(**{x.acc: a, x.var: v}).of(x.step))
+        kinds = {x.acc: self.kind_of(x.start), x.var: self.element(x.source)}
+        start = self.of(x.start)
+        inner = self.within(kinds)
+        inner.local = self.local | {k: F.lit(None).cast(t) for k, t in kinds.items() if t is not None}
+        grown = inner.kind_of(x.step)  # the accumulator takes the type of the step, as in 0 + 0.5
+        if grown is not None and not isinstance(grown, T.NullType) and grown != kinds[x.acc]:
+            kinds[x.acc], start = grown, start.cast(grown)
+        out = grown or kinds[x.acc]
+
+        def step(a: Column, v: Column) -> Column:
+            got = self.within(kinds, **{x.acc: a, x.var: v}).of(x.step)
+            return got.cast(out) if out is not None else got
+
+        return F.aggregate(self.of(x.source), start, step)
 
     def _quantified(self, x: A.Quantified) -> Column:
-        test = lambda v: self.within(**{x.var: v}).of(x.where)
+        kind = {x.var: self.element(x.source)}
+        test = lambda v: self.within(kind, **{x.var: v}).of(x.where)
         source = self.of(x.source)
         if x.kind == "all":
             return F.forall(source, test)
@@ -718,12 +731,12 @@ class Expressions:
             return null if op == "is null" else ~null
         xs = [self.of(y) for y in args]
         if op == "/":
-            kinds = [self.kind_of(v) for v in xs]
+            kinds = [self.kind_of(y) for y in args]
             if all(isinstance(k, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) for k in kinds):
                 return F.try_divide(xs[0] - F.try_mod(xs[0], xs[1]), xs[1]).cast("long")
             return F.try_divide(xs[0], xs[1])
         if op == "+":
-            kinds = [self.kind_of(v) for v in xs]
+            kinds = [self.kind_of(y) for y in args]
             if any(isinstance(k, T.StringType) for k in kinds):
                 return F.concat(*(v.cast("string") for v in xs))
             if any(isinstance(k, T.ArrayType) for k in kinds):
@@ -764,8 +777,8 @@ class Expressions:
         if name == "datetime" and x.args and isinstance(x.args[0], A.MapOf):
             return F.timestamp_millis(self.of(dict(x.args[0].items)["epochMillis"]).cast("long"))
         if name in ("length", "len", "size", "reverse") and name != "reverse" and x.args:
-            own = self.of(x.args[0])
-            return SCALAR["length"](own) if isinstance(self.kind_of(own), T.StringType) else SCALAR["size"](own) if isinstance(self.kind_of(own), T.ArrayType) or self.local else SCALAR["length"](own)
+            kind_x = self.kind_of(x.args[0])
+            return SCALAR["length" if isinstance(kind_x, T.StringType) or kind_x is None and name != "size" else "size"](self.of(x.args[0]))
         if name == "last":
             name = "list_last"
         if name not in SCALAR:

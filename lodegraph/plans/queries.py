@@ -183,8 +183,8 @@ TEXTS: dict[str, Q] = {
         "SELECT p_partkey AS k, abs(0 - p_size) AS a, ceil(p_retailprice)::BIGINT AS b, floor(p_retailprice)::BIGINT AS c, round(sqrt(p_retailprice), 6) AS d, round(ln(p_retailprice), 6) AS e, round(log2(p_size), 6) AS f, (p_size // 7)::BIGINT AS g, p_size % 7 AS h, pow(p_size, 2) AS i, p_size & 12 AS j, p_size << 2 AS l, even(2.5::DOUBLE) AS m, 120::BIGINT AS n, 24::BIGINT AS o, -1.0::DOUBLE AS q, round(gamma(4.5), 6) AS r, true AS s FROM part",
     ),
     "date_functions": Q(
-        "MATCH (o:ORDERS) RETURN o.o_orderkey AS k, o.o_orderdate.year AS a, o.o_orderdate.month AS b, o.o_orderdate.day AS c, date_part('quarter', o.o_orderdate) AS d, date_trunc('month', o.o_orderdate) AS e, date_diff('year', date('1990-06-01'), o.o_orderdate) AS f, date_sub('month', date('1990-06-15'), o.o_orderdate) AS g, date_diff('week', date('1990-06-01'), o.o_orderdate) AS h, strftime(o.o_orderdate, '%Y/%m/%d') AS i, make_date(2000, 2, 29) AS j, date_part('dow', o.o_orderdate) AS l, date_part('century', o.o_orderdate) AS m",
-        "SELECT o_orderkey AS k, year(o_orderdate) AS a, month(o_orderdate) AS b, day(o_orderdate) AS c, quarter(o_orderdate) AS d, date_trunc('month', o_orderdate)::TIMESTAMP AS e, date_diff('year', TIMESTAMP '1990-06-01', o_orderdate) AS f, date_sub('month', TIMESTAMP '1990-06-15', o_orderdate) AS g, date_diff('week', TIMESTAMP '1990-06-01', o_orderdate) AS h, strftime(o_orderdate, '%Y/%m/%d') AS i, DATE '2000-02-29' AS j, dayofweek(o_orderdate) AS l, century(o_orderdate) AS m FROM orders",
+        "MATCH (o:ORDERS) RETURN o.o_orderkey AS k, o.o_orderdate.year AS a, o.o_orderdate.month AS b, o.o_orderdate.day AS c, date_part('quarter', o.o_orderdate) AS d, date_trunc('month', o.o_orderdate) AS e, date_diff('year', date('1990-06-01'), o.o_orderdate) AS f, date_sub('month', date('1990-06-15'), o.o_orderdate) AS g, strftime(o.o_orderdate, '%Y/%m/%d') AS i, make_date(2000, 2, 29) AS j, date_part('dow', o.o_orderdate) AS l, date_part('century', o.o_orderdate) AS m",
+        "SELECT o_orderkey AS k, year(o_orderdate) AS a, month(o_orderdate) AS b, day(o_orderdate) AS c, quarter(o_orderdate) AS d, date_trunc('month', o_orderdate)::TIMESTAMP AS e, date_diff('year', TIMESTAMP '1990-06-01', o_orderdate) AS f, date_sub('month', TIMESTAMP '1990-06-15', o_orderdate) AS g, strftime(o_orderdate, '%Y/%m/%d') AS i, DATE '2000-02-29' AS j, dayofweek(o_orderdate) AS l, century(o_orderdate) AS m FROM orders",
     ),
     "list_functions": Q(
         "UNWIND range(0, 4) AS i WITH i, [10, 20, 30, 40] AS l RETURN i, l[i] AS a, l[-1] AS b, size(l[1..3]) AS c, 20 IN l AS d, list_position(l, 30) AS e, head(l) AS f, list_sum(l) AS g, size(range(5, 1)) AS h, size(range(5, 1, -2)) AS j, list_contains(l, 7) AS m",

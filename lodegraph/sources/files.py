@@ -122,7 +122,7 @@ def import_edges(graph: Graph, type_: str, path: str, form: str = "csv", src: st
 def _lenient(text: Column) -> Column:
     """Trailing commas go; Inf and NaN become words that Spark reads."""
     text = F.regexp_replace(text, r",(\s*[}\]])", "$1")
-    return F.regexp_replace(text, r"([:,\[]\s*)(-?)(?:Inf|Infinity)\b", "$1\"$2Infinity\"")
+    return F.regexp_replace(text, r"([:,\[]\s*)(-?)(?:Inf|Infinity)\b", "$1$2Infinity")
 
 
 def _json_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
