@@ -29,38 +29,38 @@ ITEMS = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 TEXTS: dict[str, Q] = {
     "tpch_q1": Q(
         "MATCH (l:LINEITEM) WHERE l.l_shipdate <= date('2001-06-01') RETURN l.l_returnflag AS flag, l.l_linestatus AS status, sum(l.l_quantity) AS qty, "
-        f"round(sum(l.l_extendedprice), 2) AS price, round({REV}, 2) AS disc_price, round(avg(l.l_discount), 6) AS disc, count(*) AS n ORDER BY flag, status",
-        f"SELECT l_returnflag AS flag, l_linestatus AS status, sum(l_quantity) AS qty, round(sum(l_extendedprice), 2) AS price, round({SREV}, 2) AS disc_price, round(avg(l_discount), 6) AS disc, count(*) AS n "
+        f"round(sum(l.l_extendedprice), 2) AS price, round({REV}, 4) AS disc_price, round(avg(l.l_discount), 6) AS disc, count(*) AS n ORDER BY flag, status",
+        f"SELECT l_returnflag AS flag, l_linestatus AS status, sum(l_quantity) AS qty, round(sum(l_extendedprice), 2) AS price, round({SREV}, 4) AS disc_price, round(avg(l_discount), 6) AS disc, count(*) AS n "
         "FROM lineitem WHERE l_shipdate <= DATE '2001-06-01' GROUP BY ALL",
     ),
     "tpch_q3": Q(
-        f"MATCH (l:LINEITEM)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(c:CUSTOMER) WHERE c.c_mktsegment = 'BUILDING' AND o.o_orderdate < date('1998-03-15') AND l.l_shipdate > date('1998-03-15') WITH o, round({REV}, 2) AS revenue RETURN o.o_orderkey AS k, o.o_orderdate AS d, revenue ORDER BY revenue DESC, d, k LIMIT 10",
-        f"SELECT o_orderkey AS k, o_orderdate AS d, round({SREV}, 2) AS revenue FROM {ITEMS} JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1998-03-15' AND l_shipdate > DATE '1998-03-15' GROUP BY 1, 2 ORDER BY revenue DESC, d, k LIMIT 10",
+        f"MATCH (l:LINEITEM)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(c:CUSTOMER) WHERE c.c_mktsegment = 'BUILDING' AND o.o_orderdate < date('1998-03-15') AND l.l_shipdate > date('1998-03-15') WITH o, round({REV}, 4) AS revenue RETURN o.o_orderkey AS k, o.o_orderdate AS d, revenue ORDER BY revenue DESC, d, k LIMIT 10",
+        f"SELECT o_orderkey AS k, o_orderdate AS d, round({SREV}, 4) AS revenue FROM {ITEMS} JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1998-03-15' AND l_shipdate > DATE '1998-03-15' GROUP BY 1, 2 ORDER BY revenue DESC, d, k LIMIT 10",
     ),
     "tpch_q5": Q(
-        f"MATCH (l:LINEITEM)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(c:CUSTOMER)-[:CUST_BELONG_TO]->(n:NATION)-[:IS_LOCATED_IN]->(r:REGION {{r_name: 'ASIA'}}), (l)-[:SUPPLIED_BY]->(s:SUPPLIER)-[:SUPP_BELONG_TO]->(n) WHERE o.o_orderdate >= date('1996-01-01') AND o.o_orderdate < date('1999-01-01') RETURN n.n_name AS nation, round({REV}, 2) AS revenue ORDER BY revenue DESC",
-        f"SELECT n_name AS nation, round({SREV}, 2) AS revenue FROM {ITEMS} JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1999-01-01' GROUP BY 1",
+        f"MATCH (l:LINEITEM)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(c:CUSTOMER)-[:CUST_BELONG_TO]->(n:NATION)-[:IS_LOCATED_IN]->(r:REGION {{r_name: 'ASIA'}}), (l)-[:SUPPLIED_BY]->(s:SUPPLIER)-[:SUPP_BELONG_TO]->(n) WHERE o.o_orderdate >= date('1996-01-01') AND o.o_orderdate < date('1999-01-01') RETURN n.n_name AS nation, round({REV}, 4) AS revenue ORDER BY revenue DESC",
+        f"SELECT n_name AS nation, round({SREV}, 4) AS revenue FROM {ITEMS} JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1999-01-01' GROUP BY 1",
     ),
     "tpch_q6": Q(
-        "MATCH (l:LINEITEM) WHERE l.l_shipdate >= date('1997-01-01') AND l.l_shipdate < date('1998-01-01') AND 0.07 >= l.l_discount >= 0.05 AND l.l_quantity < 24 RETURN round(sum(l.l_extendedprice * l.l_discount), 2) AS revenue",
-        "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
+        "MATCH (l:LINEITEM) WHERE l.l_shipdate >= date('1997-01-01') AND l.l_shipdate < date('1998-01-01') AND 0.07 >= l.l_discount >= 0.05 AND l.l_quantity < 24 RETURN round(sum(l.l_extendedprice * l.l_discount), 4) AS revenue",
+        "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
     ),
     "tpch_q7": Q(
-        f"MATCH (l:LINEITEM)-[:SUPPLIED_BY]->(s:SUPPLIER)-[:SUPP_BELONG_TO]->(n1:NATION), (l)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(c:CUSTOMER)-[:CUST_BELONG_TO]->(n2:NATION) WHERE (n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1') RETURN n1.n_name AS supp, n2.n_name AS cust, l.l_shipdate.year AS y, round({REV}, 2) AS volume ORDER BY supp, cust, y",
-        f"SELECT n1.n_name AS supp, n2.n_name AS cust, year(l_shipdate) AS y, round({SREV}, 2) AS volume FROM {ITEMS} JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE (n1.n_name, n2.n_name) IN (('NATION_1', 'NATION_2'), ('NATION_2', 'NATION_1')) GROUP BY ALL",
+        f"MATCH (l:LINEITEM)-[:SUPPLIED_BY]->(s:SUPPLIER)-[:SUPP_BELONG_TO]->(n1:NATION), (l)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(c:CUSTOMER)-[:CUST_BELONG_TO]->(n2:NATION) WHERE (n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1') RETURN n1.n_name AS supp, n2.n_name AS cust, l.l_shipdate.year AS y, round({REV}, 4) AS volume ORDER BY supp, cust, y",
+        f"SELECT n1.n_name AS supp, n2.n_name AS cust, year(l_shipdate) AS y, round({SREV}, 4) AS volume FROM {ITEMS} JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE (n1.n_name, n2.n_name) IN (('NATION_1', 'NATION_2'), ('NATION_2', 'NATION_1')) GROUP BY ALL",
     ),
     "tpch_q8": Q(
         f"MATCH (l:LINEITEM)-[:COMPOSED_BY]->(p:PART {{p_type: 'PROMO'}}), (l)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(:CUSTOMER)-[:CUST_BELONG_TO]->(:NATION)-[:IS_LOCATED_IN]->(r:REGION {{r_name: 'AMERICA'}}), (l)-[:SUPPLIED_BY]->(:SUPPLIER)-[:SUPP_BELONG_TO]->(n:NATION) WITH o.o_orderdate.year AS y, l.l_extendedprice * (1 - l.l_discount) AS v, n.n_name AS nation RETURN y, round(sum(CASE WHEN nation = 'NATION_3' THEN v ELSE 0.0 END) / sum(v), 6) AS share ORDER BY y",
         f"SELECT year(o_orderdate) AS y, round(sum(CASE WHEN n2.n_name = 'NATION_3' THEN l_extendedprice * (1 - l_discount) ELSE 0.0 END) / {SREV}, 6) AS share FROM {ITEMS} JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE p_type = 'PROMO' AND r_name = 'AMERICA' GROUP BY 1",
     ),
     "tpch_q9": Q(
-        f"MATCH (l:LINEITEM)-[:SUPPLIED_BY]->(s:SUPPLIER), (l)-[:COMPOSED_BY]->(p:PART), (l)-[:IS_PART_OF]->(o:ORDERS), (p)-[:PARTSUPP]->(s), (s)-[:SUPP_BELONG_TO]->(n:NATION) WHERE p.p_name CONTAINS '7' WITH l, n, o ORDER BY n.n_name, o.o_orderdate.year DESC RETURN n.n_name AS nation, o.o_orderdate.year AS year, round({REV}, 2) AS amount",
-        f"SELECT n_name AS nation, year(o_orderdate) AS year, round({SREV}, 2) AS amount FROM {ITEMS} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%7%' GROUP BY ALL",
+        f"MATCH (l:LINEITEM)-[:SUPPLIED_BY]->(s:SUPPLIER), (l)-[:COMPOSED_BY]->(p:PART), (l)-[:IS_PART_OF]->(o:ORDERS), (p)-[:PARTSUPP]->(s), (s)-[:SUPP_BELONG_TO]->(n:NATION) WHERE p.p_name CONTAINS '7' WITH l, n, o ORDER BY n.n_name, o.o_orderdate.year DESC RETURN n.n_name AS nation, o.o_orderdate.year AS year, round({REV}, 4) AS amount",
+        f"SELECT n_name AS nation, year(o_orderdate) AS year, round({SREV}, 4) AS amount FROM {ITEMS} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%7%' GROUP BY ALL",
         "partsupp",
     ),
     "tpch_q10": Q(
-        f"MATCH (l:LINEITEM)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(c:CUSTOMER)-[:CUST_BELONG_TO]->(n:NATION) WHERE l.l_returnflag = 'R' AND o.o_orderdate.year = 1998 WITH c, n, round({REV}, 2) AS revenue RETURN c.c_custkey AS k, c.c_name AS name, revenue, c.c_acctbal AS bal, n.n_name AS nation ORDER BY revenue DESC, k LIMIT 20",
-        f"SELECT c_custkey AS k, c_name AS name, round({SREV}, 2) AS revenue, c_acctbal AS bal, n_name AS nation FROM {ITEMS} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' AND year(o_orderdate) = 1998 GROUP BY ALL ORDER BY revenue DESC, k LIMIT 20",
+        f"MATCH (l:LINEITEM)-[:IS_PART_OF]->(o:ORDERS)-[:MADE_BY]->(c:CUSTOMER)-[:CUST_BELONG_TO]->(n:NATION) WHERE l.l_returnflag = 'R' AND o.o_orderdate.year = 1998 WITH c, n, round({REV}, 4) AS revenue RETURN c.c_custkey AS k, c.c_name AS name, revenue, c.c_acctbal AS bal, n.n_name AS nation ORDER BY revenue DESC, k LIMIT 20",
+        f"SELECT c_custkey AS k, c_name AS name, round({SREV}, 4) AS revenue, c_acctbal AS bal, n_name AS nation FROM {ITEMS} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' AND year(o_orderdate) = 1998 GROUP BY ALL ORDER BY revenue DESC, k LIMIT 20",
     ),
     "tpch_q13": Q(
         "MATCH (c:CUSTOMER) OPTIONAL MATCH (c)<-[:MADE_BY]-(o:ORDERS) WHERE o.o_orderstatus = 'F' WITH c, count(o) AS n RETURN n, count(*) AS customers ORDER BY customers DESC, n DESC",
@@ -71,8 +71,8 @@ TEXTS: dict[str, Q] = {
         f"SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0.0 END) / {SREV}, 6) AS promo FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1999",
     ),
     "tpch_q15": Q(
-        f"MATCH (l:LINEITEM)-[:SUPPLIED_BY]->(s:SUPPLIER) WHERE l.l_shipdate.year = 1999 WITH s, round({REV}, 2) AS total WITH max(total) AS best MATCH (l:LINEITEM)-[:SUPPLIED_BY]->(s:SUPPLIER) WHERE l.l_shipdate.year = 1999 WITH best, s, round({REV}, 2) AS total WHERE total = best RETURN s.s_suppkey AS k, s.s_name AS name, total ORDER BY k",
-        f"WITH r AS (SELECT l_suppkey, round({SREV}, 2) AS total FROM lineitem WHERE year(l_shipdate) = 1999 GROUP BY 1) SELECT s_suppkey AS k, s_name AS name, total FROM supplier JOIN r ON s_suppkey = l_suppkey WHERE total = (SELECT max(total) FROM r)",
+        f"MATCH (l:LINEITEM)-[:SUPPLIED_BY]->(s:SUPPLIER) WHERE l.l_shipdate.year = 1999 WITH s, round({REV}, 4) AS total WITH max(total) AS best MATCH (l:LINEITEM)-[:SUPPLIED_BY]->(s:SUPPLIER) WHERE l.l_shipdate.year = 1999 WITH best, s, round({REV}, 4) AS total WHERE total = best RETURN s.s_suppkey AS k, s.s_name AS name, total ORDER BY k",
+        f"WITH r AS (SELECT l_suppkey, round({SREV}, 4) AS total FROM lineitem WHERE year(l_shipdate) = 1999 GROUP BY 1) SELECT s_suppkey AS k, s_name AS name, total FROM supplier JOIN r ON s_suppkey = l_suppkey WHERE total = (SELECT max(total) FROM r)",
     ),
     "tpch_q17": Q(
         "MATCH (l:LINEITEM)-[:COMPOSED_BY]->(p:PART) WHERE p.p_brand = 'Brand#23' WITH p, avg(l.l_quantity) AS mean MATCH (i:LINEITEM)-[:COMPOSED_BY]->(p) WHERE i.l_quantity < 0.5 * mean RETURN round(sum(i.l_extendedprice) / 7.0, 4) AS yearly",
