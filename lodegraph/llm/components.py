@@ -21,19 +21,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))
     else:
         out = joined.select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
-    return out.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return out.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node with an edge: root is the smallest node that it reaches.  edges: two columns of one type."""
     one, two = edges.columns
     current = edges.select(F.col(one).alias("a"), F.col(two).alias("b")).where("a <> b").distinct()
-    mark = None
     for _ in range(max_rounds):
-        current = materialize(_star(_star(current, True), False), "components")
-        found = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (found[0], found[1]) == mark:
-            roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = (found[0], found[1])
+        current = materialize(_star(_star(current, True), False).distinct(), "components")
+        # done when stars alone are left: each leaf has one centre, and no centre is a leaf
+        several = current.groupBy("a").agg(F.min("b").alias("u"), F.max("b").alias("v")).where("u <> v")
+        if several.isEmpty() and current.join(current.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -252,7 +252,7 @@ def leading(lists: DataFrame, turn: int) -> DataFrame:
     return lists.join(lead, "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, root: documents with one root are a component; root is null where there are no shingles, or no doc_id."""
     plan = Plan(percent)
     indexed = materialize(index_lists(docs.where("doc_id is not null"), n, plan), "jaccard-index")

@@ -59,7 +59,7 @@ def test_components_against_all_pairs(spark, monkeypatch, n, percent, seed, roun
     monkeypatch.setattr(jaccard, "SLOT", 500)
     plain = jaccard.groups
     if rounds == 0:
-        monkeypatch.setattr(jaccard, "groups", lambda d, n, p: plain(d, n, p, rounds=1))
+        monkeypatch.setattr(jaccard, "groups", lambda d, n, p: plain(d, n, p, rounds=2))
     texts = near_copies(seed) + odd_texts()
     rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.component_rows(documents(spark, texts), n, percent).collect()}
     want = brute(texts, n, percent)
