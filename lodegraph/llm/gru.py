@@ -153,7 +153,10 @@ class Gru:
             got = log_softmax(flat @ p["C"] + p["c"])[np.arange(len(want)), cls].astype(np.float64)
             by = np.argsort(cls, kind="stable")
             edges = np.searchsorted(cls[by], np.arange(self.classes + 1))
-            for k in range(self.classes):
+            if len(want) <= 512:  # few words: their classes' weights side by side
+                logits = np.einsum("nh,nhw->nw", flat, p["V"][cls]) + p["v"][cls]
+                got += log_softmax(logits)[np.arange(len(want)), inner]
+            for k in range(self.classes if len(want) > 512 else 0):
                 own = by[edges[k] : edges[k + 1]]
                 if len(own):
                     got[own] += log_softmax(flat[own] @ p["V"][k] + p["v"][k])[np.arange(len(own)), inner[own]]

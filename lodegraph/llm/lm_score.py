@@ -89,7 +89,7 @@ def numbers(at: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.where((at >= 0) & (at < vocabulary - 1), at + 1, UNKNOWN)
 
 
-def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int = 1_000_000, train_documents: int = 400, hidden: int = 16) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int = 200_000, train_documents: int = 400, hidden: int = 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
     training = docs.where(~held_out())
