@@ -12,6 +12,7 @@ input with the name of a figure gives way to the figure.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,13 +118,15 @@ def apply_rules(docs: DataFrame, text: str = "text", sample_rows: int = 2000) ->
     by = F.when(F.col("base_failed"), F.lit("base"))
     for k in order:
         by = by.when(own[k][0], F.lit(k))
-    return (
+    out = (
         figures(docs, text)
         .withColumn("base_failed", base_failed())
         .withColumn("rejected_by", by)
         .withColumn("kept", F.col("rejected_by").isNull())
         .drop("_words")
     )
+    # a filter on the verdict must not be pushed below the figures: it would make each of them anew for each use
+    return out.observe(f"quality_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
