@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +88,12 @@ class Graph:
 
     commit = rollback = begin
 
+    def cursor(self) -> Cursor:
+        return Cursor(self)
+
+    def clear_delta(self) -> None:
+        """Nothing to clear: a change replaces tables, it leaves no delta."""
+
     def interrupt(self) -> None:
         self.spark.sparkContext.cancelAllJobs()
 
@@ -284,9 +289,40 @@ class Changes:
         return scope
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+class Cursor:
+    """execute, then fetch: the surface of a database cursor."""
+
+    def __init__(self, graph: Graph):
+        self.graph, self.result = graph, None
+
+    def execute(self, text: str, params: dict[str, Any] | None = None) -> Cursor:
+        self.result = self.graph.execute(text, params).execute()
+        return self
+
+    @property
+    def description(self) -> list[tuple]:
+        return [] if self.result is None else list(zip(self.result.columns, self.result.types, strict=True))
+
+    def fetchone(self) -> tuple | None:
+        return self.result.fetchone()
+
+    def fetchmany(self, n: int = 1) -> list[tuple]:
+        return self.result.fetchmany(n)
+
+    def fetchall(self) -> list[tuple]:
+        out = []
+        while (row := self.result.fetchone()) is not None:
+            out.append(row)
+        return out
+
+    def close(self) -> None:
+        self.result = None
+
 
+def connect(spark: SparkSession, path: str | None = None) -> Graph:
+    """The graph of a workspace, or an empty one."""
+    if path is None:
+        return Graph(spark)
+    from .sources.workspace import load
 
-def rows_of(relation: Relation) -> Iterator:
-    return relation.df.toLocalIterator()
+    return load(spark, path)

@@ -161,6 +161,8 @@ def test_fluent(g):
     assert g.path({"id": 1}, {"id": 4}, "Person", "KNOWS").shortest_path().fetchall()[0][2] == 2
     assert g.prepare("MATCH (a:Person {id: $i}) RETURN a.name AS n").execute({"i": 2}).fetchall() == [("Bob",)]
     assert r.execute().fetchone() is not None and len(r.fetchmany(2)) == 2
+    cur = g.cursor().execute("MATCH (a:Person) RETURN a.id AS i")
+    assert cur.description == [("i", "bigint")] and len(cur.fetchall()) == 5
     for form in FORMS:
         assert isinstance(render(r.df, form), str)
     assert "Scan" in g.explain("MATCH (a:Person) RETURN a.name AS n") and g.schema()["vertices"]["Pet"] == {"id": "bigint", "name": "string"}
