@@ -75,36 +75,46 @@ class Trie:
                 s = children[s][c]
             values[s] = v
         size = 2 * len(children) + len(letters) + 2
-        base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        used = np.zeros(size, bool)
-        used[0] = True
-        free = 1
+        base, check, value = [0] * size, [-1] * size, [-1] * size
+        following = list(range(size + 1))  # of each cell the next free one, itself if it is free
+
+        def free(cell: int) -> int:
+            while cell >= len(following) - 1:
+                following.extend(range(len(following), 2 * len(following)))
+            seen = []
+            while following[cell] != cell:
+                seen.append(cell)
+                cell = following[cell]
+            for x in seen:
+                following[x] = cell
+            return cell
+
+        following[0] = 1
         place = {0: 0}
         value[0] = values[0]
+        hint = 0
         for s in self._levels(children):
-            own = children[s]
+            own = sorted(children[s])
             if not own:
                 continue
-            codes = np.fromiter(own, np.int64, len(own))
-            while used[free]:
-                free += 1
-            b = max(0, free - int(codes.min()))
-            while True:
-                top = b + int(codes.max()) + 1
-                if top >= len(used):
-                    more = len(used)
-                    base, check, value = (np.concatenate([x, np.full(more, fill, np.int64)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
-                    used = np.concatenate([used, np.zeros(more, bool)])
-                if not used[b + codes].any():
-                    break
-                b += 1
+            low, tries = own[0], 0
+            cell = free(max(low, 1) if len(own) == 1 else max(hint + low, 1))
+            while any(free(cell - low + c) != cell - low + c for c in own[1:]):
+                cell, tries = free(cell + 1), tries + 1
+            if tries > 50:  # it is full below: nodes with several children are not tried there again
+                hint = cell - low
+            b = cell - low
+            while b + own[-1] >= len(base):
+                base, check, value = base + [0] * len(base), check + [-1] * len(check), value + [-1] * len(value)
             at = place[s]
             base[at] = b
-            for c, t in own.items():
-                used[b + c] = True
+            for c in own:
+                t = children[s][c]
+                following[b + c] = b + c + 1
                 check[b + c] = at
                 value[b + c] = values[t]
                 place[t] = b + c
+        base, check, value = (np.array(x, np.int64) for x in (base, check, value))
         room = len(letters) + 2
         self.base, self.check, self.value = (np.concatenate([x, np.full(room, fill, np.int64)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
         self.longest = max(map(len, words), default=0)
