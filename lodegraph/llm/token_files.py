@@ -16,6 +16,7 @@ stand one after the other.  An empty table gives no files and no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 
+#: Letters and punctuation between which the tokenizer always splits, and whose lower case is plain.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?|]*)")
 MAGIC = b"DAC1"
 BLOCK = 512
 END = 1
@@ -119,7 +122,7 @@ class Encoder:
     The tokenizer drops white space and never joins what stands at both sides of it, so a text's ids are
     those of its pieces between blanks, one after the other.  Pieces met before come from a cache of bounded size."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -127,16 +130,23 @@ class Encoder:
         self.cache: dict[str, bytes] = {"": b""}
         self.cache_size = cache_size
 
+    def add(self, words: list[str]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) > self.cache_size:
             self.cache = {"": b""}
         cache = self.cache
-        missing = list({w for words in split for w in words if w not in cache})
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        missing = {w for words in split for w in words if w not in cache}
+        # letters with punctuation behind them: two pieces of the tokenizer's, the letters in lower case
+        parts = {w: (m[1].lower(), m[2]) for w in missing if (m := PLAIN.fullmatch(w))}
+        self.add([*missing.difference(parts), *({x for two in parts.values() for x in two if x not in cache} - (missing - parts.keys()))])
+        for w, (letters, behind) in parts.items():
+            cache[w] = cache[letters] + cache[behind]
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
