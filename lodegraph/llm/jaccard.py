@@ -94,7 +94,7 @@ class Plan:
         """(m, empty parts that a set may leave out) for sets of at least low shingles, two linked ones having at most total together."""
         if (low, total) not in self.known:
             differ = total * (100 - self.percent) // (100 + self.percent)
-            best = (1.0, 1, 0)
+            best = (math.inf, 0, 0)
             for empty in range(40 if differ else 0):
                 m = differ + 1 + empty
                 mean = m * math.exp(-low / m)
@@ -103,6 +103,14 @@ class Plan:
                     term *= mean / k
                     tail += term
                 best = min(best, (max(1e-7, 1 - tail), m, empty))
+            # large sets have more empty parts than these: six deviations above the mean, where that has an end
+            empty = 40
+            while best[0] > 0.01 and differ and (m := differ + 1 + empty) <= low:
+                mean = m * math.exp(-low / m)
+                if mean + 6 * math.sqrt(mean) <= empty:
+                    best = (0.0, m, empty)
+                    break
+                empty = math.ceil(mean + 6 * math.sqrt(mean))
             self.known[low, total] = best[1:] if differ else (0, 0)
         return self.known[low, total]
 

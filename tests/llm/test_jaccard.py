@@ -90,6 +90,29 @@ def test_every_linked_pair_shares_a_list():
                 assert any(sum(k & 255 == b["block"] for k in common) > b["lists"] - b["enough"] for b in need), (percent, len(a), len(b))
 
 
+def long_copies(size, percent):
+    """Two texts of about size words, a near copy of each by one word and by many, and one beyond the limit."""
+    rnd = random.Random(size + percent)
+    out = []
+    for _ in range(2):
+        base = [f"w{rnd.randrange(50_000)}" for _ in range(size)]
+        for changes in (0, 1, size // 100, size // 8):
+            own = list(base)
+            for k in rnd.sample(range(size), changes):
+                own[k] = f"x{rnd.randrange(50_000)}"
+            out.append(" ".join(own))
+    return out
+
+
+def test_near_copies_of_long_documents_go(spark):
+    texts = [t for size in (10_000, 20_000, 70_000) for t in long_copies(size, 80)]
+    want = brute(texts, 5, 80)
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.component_rows(documents(spark, texts), 5, 80).collect()}
+    assert rows == dict(enumerate(want))
+    assert len({c for _, c in want}) == 12
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(documents(spark, texts)).collect()) == sorted({c for _, c in want})
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (5, "a b c d e f g"), (6, None), (7, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
