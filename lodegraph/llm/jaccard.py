@@ -111,6 +111,8 @@ class Plan:
                     best = (0.0, m, empty)
                     break
                 empty = math.ceil(mean + 6 * math.sqrt(mean))
+            if differ and best[1] <= differ:
+                raise AssertionError(f"{best[1]} parts for sets that differ by {differ} shingles")
             self.known[low, total] = best[1:] if differ else (0, 0)
         return self.known[low, total]
 

@@ -113,6 +113,25 @@ def test_near_copies_of_long_documents_go(spark):
     assert sorted(r["doc_id"] for r in jaccard.one_of_each(documents(spark, texts)).collect()) == sorted({c for _, c in want})
 
 
+def test_more_parts_than_differences_at_every_size():
+    for percent in (80, 85):
+        plan = jaccard.Plan(percent)
+        for k in range(60):
+            low, high = plan.lows[k], plan.lows[k + 1] - 1
+            for (m, empty), differ in (
+                (plan.parts(low, 2 * high), 2 * high * (100 - percent) // (100 + percent)),
+                (plan.across(k), (high + 100 * high // percent) * (100 - percent) // (100 + percent)),
+            ):
+                assert (m, empty) == (0, 0) if not differ else m == differ + 1 + empty, (percent, low)
+
+
+def test_components_of_very_long_documents(spark):
+    texts = long_copies(45_000, 85) + long_copies(100_000, 85)
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.component_rows(documents(spark, texts), 4, 85).collect()}
+    assert rows == dict(enumerate(brute(texts, 4, 85)))
+    assert len({c for _, c in rows.values()}) == 8
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (5, "a b c d e f g"), (6, None), (7, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
