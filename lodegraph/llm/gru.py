@@ -16,6 +16,26 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+class Adam:
+    """Steps along gradients, their lengths bounded."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.turn = p, 0
+        self.m = {k: np.zeros_like(x) for k, x in p.items()}
+        self.s = {k: np.zeros_like(x) for k, x in p.items()}
+
+    def step(self, g: dict[str, np.ndarray], batch: int, rate: float) -> None:
+        m, s = self.m, self.s
+        self.turn += 1
+        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        size = min(1.0, 5.0 * batch / max(norm, 1e-9)) / batch
+        for k in self.p:
+            x = g[k] * size
+            m[k] += 0.1 * (x - m[k])
+            s[k] += 0.01 * (x * x - s[k])
+            self.p[k] -= rate * (m[k] / (1 - 0.9**self.turn)) / (np.sqrt(s[k] / (1 - 0.99**self.turn)) + 1e-6)
+
+
 class Gru:
     """vocab words, numbered by falling frequency after the unknown word; classes of equal width over these numbers.
 
@@ -108,26 +128,33 @@ class Gru:
             return []
         inputs = stream[: steps * batch].reshape(batch, steps).T
         targets = stream[1 : steps * batch + 1].reshape(batch, steps).T
-        m = {k: np.zeros_like(x) for k, x in self.p.items()}
-        s = {k: np.zeros_like(x) for k, x in self.p.items()}
-        turn, history = 0, []
+        adam, history = Adam(self.p), []
         for epoch in range(epochs):
             h = np.zeros((batch, self.hidden), self.p["U"].dtype)
             total = 0.0
             for a in range(0, steps, window):
                 loss, g, h = self.loss(inputs[a : a + window], targets[a : a + window], h)
                 total += loss
-                turn += 1
-                norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                size = min(1.0, 5.0 * batch / max(norm, 1e-9)) / batch
-                for k in self.p:
-                    x = g[k] * size
-                    m[k] += 0.1 * (x - m[k])
-                    s[k] += 0.01 * (x * x - s[k])
-                    self.p[k] -= rate * 0.5**epoch * (m[k] / (1 - 0.9**turn)) / (np.sqrt(s[k] / (1 - 0.99**turn)) + 1e-6)
+                adam.step(g, batch, rate * 0.5**epoch)
             history.append(total / (steps * batch))
         return history
 
+    def learn(self, adam: Adam, block: np.ndarray, rate: float, batch: int = 32, window: int = 32) -> int:
+        """One pass of truncated backpropagation over all words of a block but its first; gives their number."""
+        at = 0
+        while at < len(block) - 1:  # what doesn't fill equal rows goes into fewer, shorter ones
+            left = len(block) - 1 - at
+            rows = min(batch, max(1, left // window))
+            steps = left // rows
+            inputs = block[at : at + rows * steps].reshape(rows, steps).T
+            targets = block[at + 1 : at + rows * steps + 1].reshape(rows, steps).T
+            h = np.zeros((rows, self.hidden), self.p["U"].dtype)
+            for a in range(0, steps, window):
+                _, g, h = self.loss(inputs[a : a + window], targets[a : a + window], h)
+                adam.step(g, rows, rate)
+            at += rows * steps
+        return max(0, len(block) - 1)
+
     def log_probability(self, texts: list[np.ndarray], first: int, window: int = 64) -> np.ndarray:
         """ln P of each whole text (word numbers, the end word last).  Texts go side by side, a window at a time, the state carried over."""
         order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))

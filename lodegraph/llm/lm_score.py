@@ -4,9 +4,13 @@ Counts are gathered over all training documents: each task sums its words, the s
 that fit a table of table_words entries (all of them, up to that many; else those of the highest counts) go to
 every executor; a document's other words are joined with the counts by shuffle, so that nothing is left out at any size.
 
-The recurrent model knows the `vocabulary` most frequent words; it is trained on a bounded sample of
-train_documents training documents, on the driver.  A word beyond the vocabulary counts as the unknown word
-times its share among the unknown words: (c + 1) over the sum of that.  Scores are log10.
+The recurrent model knows the `vocabulary` most frequent words.  It learns from all words of all training documents, in
+rounds: each round takes its share of the documents, each task trains the model on its own ones, and the weights are
+averaged by the tasks' words.  It starts from weights that the driver trains on a sample of about train_documents training
+documents, or fewer where texts are long; the sample's documents are in the rounds as well.  What doesn't grow with the corpus
+are the vocabulary, the hidden units, the number of rounds and the sample for the start.
+A word beyond the vocabulary counts as the unknown word times its share among the unknown words: (c + 1) over the sum of that.
+Scores are log10.
 
 Null and empty texts consist of the end alone.  A null doc_id counts as the empty text where its remainder is taken.
 Without training documents all counts are 0 and the model stays as it begins.
@@ -14,6 +18,7 @@ Without training documents all counts are 0 and the model stays as it begins.
 
 from __future__ import annotations
 
+import copy
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, table, text_bytes
-from .gru import UNKNOWN, Gru
+from .gru import UNKNOWN, Adam, Gru
+
+#: The training documents are dealt to so many rounds; the rate halves each round.
+ROUNDS, RATE = 3, 0.01
+#: Words that a task gathers for a pass of training, at least.
+BLOCK = 65_536
+#: Words of the sample that the start is trained on, about.
+START_WORDS = 400_000
 
 
 def hash_of(word: bytes) -> int:
@@ -89,6 +101,61 @@ def numbers(at: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.where((at >= 0) & (at < vocabulary - 1), at + 1, UNKNOWN)
 
 
+def round_of() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(ROUNDS))
+
+
+def start_model(model: Gru, training: DataFrame, n: int, lookup: Lookup, vocabulary: int, train_documents: int) -> None:
+    """Trains the model on the driver, on a sample by doc_id that has START_WORDS of the n training words, about, at most."""
+    every = max(1, training.count() // max(1, train_documents), n // START_WORDS)
+    sample = training.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(every)) == 0).orderBy("doc_id").limit(2 * train_documents)
+    parts = [np.zeros(1, np.int64)]
+    for r in sample.select(text_bytes().alias("t")).toLocalIterator():
+        words = bytes(r["t"]).lower().split()
+        parts.append(numbers(np.array([lookup[w] for w in words] + [0]), vocabulary).astype(np.int32))
+    parts[0] = numbers(parts[0], vocabulary).astype(np.int32)
+    model.train(np.concatenate(parts))
+
+
+def average_round(model: Gru, docs: DataFrame, hashes: np.ndarray, vocabulary: int, rate: float, lanes: int) -> None:
+    """Each task trains the model on its rows of docs, a block of words at a time; the model becomes the mean of theirs, by their words."""
+    sent = docs.sparkSession.sparkContext.broadcast((hashes, model))
+    names = sorted(model.p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, shared = sent.value
+        own = copy.deepcopy(shared)  # a worker's next task begins with the shared weights again
+        adam, lookup = Adam(own.p), Lookup(hashes)
+        end = numbers(np.zeros(1, np.int64), vocabulary)
+        parts, waiting, words = [end], 0, 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                for data in batch.slice(i, 256).column(0).to_pylist():
+                    split = data.lower().split()
+                    at = np.fromiter(map(lookup.__getitem__, split), np.int64, len(split))
+                    parts += [numbers(at, vocabulary), end]
+                    waiting += len(split) + 1
+                    if waiting >= BLOCK:
+                        words += own.learn(adam, np.concatenate(parts), rate, lanes)
+                        parts, waiting = [end], 0
+        words += own.learn(adam, np.concatenate(parts), rate, lanes)
+        if words:
+            weights = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["words", "weights"])
+
+    rows = materialize(docs.select(text_bytes().alias("t")).mapInArrow(run, "words bigint, weights binary"), "lm-weights")
+    total, mean = 0, np.zeros(sum(x.size for x in model.p.values()))
+    for r in rows.toLocalIterator():
+        mean += r["words"] * np.frombuffer(r["weights"], np.float32).astype(np.float64)
+        total += r["words"]
+    sent.unpersist()
+    at = 0
+    for k in names if total else ():
+        x = model.p[k]
+        model.p[k] = (mean[at : at + x.size] / total).reshape(x.shape).astype(x.dtype)
+        at += x.size
+
+
 def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int = 200_000, train_documents: int = 400, hidden: int = 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
@@ -116,15 +183,9 @@ def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int =
     known = c[: vocabulary - 1]
     unknown_mass = float(n + v + 1 - (known + 1).sum())
     model = Gru(np.concatenate([[max(0.0, n - known.sum())], known]), hidden)
-    every = max(1, training.count() // max(1, train_documents))
-    sample = training.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(every)) == 0).orderBy("doc_id").limit(2 * train_documents)
-    lookup = Lookup(hashes)
-    stream: list[int] = [0]
-    for r in sample.select(text_bytes().alias("t")).toLocalIterator():
-        stream += [lookup[w] for w in bytes(r["t"]).lower().split()] + [0]
-        if len(stream) > 400_000:
-            break
-    model.train(numbers(np.array(stream), vocabulary))
+    start_model(model, training, n, Lookup(hashes), vocabulary, train_documents)
+    for k in range(ROUNDS):
+        average_round(model, training.where(round_of() == k), hashes[: vocabulary - 1], vocabulary, RATE * 0.5**k, lanes=min(256, max(32, n // 100_000)))
 
     sent = spark.sparkContext.broadcast((hashes, c, model))
     norm = float(np.log10(n + 1 * (v + 1)))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from lodegraph.llm import lm_score
-from lodegraph.llm.gru import Gru
+from lodegraph.llm.gru import Adam, Gru
 
 from .helpers import SF, documents, odd_texts
 
@@ -51,6 +51,25 @@ def test_better_than_counts_on_documents_held_out(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_learns_from_documents_outside_the_first_sample(spark):
+    """The sample for the start is a document or two; only all training documents together show the order of the words."""
+    rows = [(k, " ".join(f"w{(k * 7 + i) % 20}" for i in range(200))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lm_score.score_documents(docs, vocabulary=64, train_documents=1).where("held_out").collect()
+    assert len(held) > 300
+    assert sum(r["score"] for r in held) > 0.7 * sum(r["base_score"] for r in held)
+
+
+def test_a_pass_learns_from_every_word():
+    model = Gru(np.ones(10), hidden=4, width=4)
+    for words in (0, 1, 2, 33, 1000, 70_001):
+        seen = []
+        plain = model.loss
+        model.loss = lambda i, t, h: (seen.append(t.size), plain(i, t, h))[1]  # noqa: B023
+        assert model.learn(Adam(model.p), np.arange(words) % 10, 0.001) == sum(seen) == max(0, words - 1)
+        model.loss = plain
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = Gru(rng.integers(0, 50, 11).astype(float), hidden=5, width=4, dtype=np.float64)
