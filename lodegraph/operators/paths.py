@@ -56,7 +56,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, least: int, most: int | N
     wanted = settle(pairs, "pairs")
     level = _begin(wanted.select(" s", " sl").distinct(), edges)
     keys = [" s", " sl", " e", " el"]
-    seen = level.select(*keys)
+    seen = level.select(*keys) if least == 0 else level.select(*keys).where("false")  # a way back to the start is a path
     found = [level.join(wanted, keys, "left_semi")] if least == 0 else []
     k = 0
     while k < (most if most is not None else max_hops):

@@ -171,6 +171,26 @@ TEXTS: dict[str, Q] = {
         f"WITH RECURSIVE {TRADES}, w AS (SELECT t, 1 AS d, [e] AS es FROM trades WHERE s = 0 UNION ALL SELECT x.t, d + 1, list_append(es, x.e) FROM w JOIN trades x ON w.t = x.s AND NOT list_contains(es, x.e) WHERE d < 9), m AS (SELECT t, min(d) AS d FROM w GROUP BY 1) SELECT w.t AS b, w.d::BIGINT AS hops, count(*) AS n FROM w JOIN m ON w.t = m.t AND w.d = m.d GROUP BY ALL",
         "trade",
     ),
+    # whole tables and all sources, where the queries above take some keys
+    "optional_chain_of_all": Q(
+        "MATCH (o:ORDERS) OPTIONAL MATCH (o)<-[:IS_PART_OF]-(l:LINEITEM)-[:COMPOSED_BY]->(p:PART) WHERE p.p_size < 10 RETURN o.o_orderkey AS k, p.p_partkey AS p",
+        "SELECT o_orderkey AS k, p_partkey AS p FROM orders LEFT JOIN (SELECT l_orderkey, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10) ON l_orderkey = o_orderkey",
+    ),
+    "ordered_head_of_all": Q(
+        "MATCH (o:ORDERS)-[:MADE_BY]->(c:CUSTOMER) RETURN c.c_custkey AS k, max_by(o.o_orderkey, o.o_totalprice) AS dearest",
+        "SELECT o_custkey AS k, max_by(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY 1",
+    ),
+    "shortest_path_of_all": Q(
+        "MATCH (a:NATION), (b:NATION), p = shortestPath((a)-[:TRADES*]-(b)) WHERE NOT a = b RETURN a.n_nationkey AS a, b.n_nationkey AS b, length(p) AS hops",
+        f"{BOTH}, w AS (SELECT n_nationkey AS a, n_nationkey AS t, 0 AS d FROM nation UNION SELECT a, x.t, d + 1 FROM w JOIN both_ways x ON w.t = x.s WHERE d < 25) SELECT a, t AS b, min(d)::BIGINT AS hops FROM w WHERE t <> a GROUP BY ALL",
+        "trade",
+    ),
+    "all_shortest_paths_of_all": Q(
+        "MATCH (a:NATION), (b:NATION), p = allShortestPaths((a)-[:TRADES*]->(b)) RETURN a.n_nationkey AS a, b.n_nationkey AS b, length(p) AS hops, count(*) AS n",
+        f"WITH RECURSIVE {TRADES}, r AS (SELECT s AS a, t, 1 AS d FROM trades UNION SELECT a, x.t, d + 1 FROM r JOIN trades x ON r.t = x.s WHERE d < 25), m AS (SELECT a, t, min(d) AS d FROM r GROUP BY ALL), "
+        "w AS (SELECT s AS a, t, 1 AS d FROM trades UNION ALL SELECT w.a, x.t, w.d + 1 FROM w JOIN trades x ON w.t = x.s JOIN m ON m.a = w.a AND m.t = x.t AND m.d = w.d + 1) SELECT a, t AS b, d::BIGINT AS hops, count(*) AS n FROM w GROUP BY ALL",
+        "trade",
+    ),
     # functions
     "string_functions": Q(
         "MATCH (p:PART) RETURN p.p_partkey AS k, toUpper(p.p_name) AS a, toLower(p.p_brand) AS b, left(p.p_name, 3) AS c, right(p.p_name, 2) AS d, lpad(p.p_type, 9, '*') AS e, rpad(p.p_type, 9, '*') AS f, replace(p.p_brand, '#', '-') AS g, reverse(p.p_name) AS h, trim('  x ') AS i, "
