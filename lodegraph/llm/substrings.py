@@ -1,6 +1,6 @@
 """Removal of repeated substrings: bytes under a string of 400 bytes that starts anywhere else as well.
 
-Suffixes are never sorted all at once; they are dealt into buckets that are sorted one at a time:
+No suffix is sorted: windows are dealt into buckets by fingerprint, and the rows of a bucket are grouped one bucket at a time:
 
 1. Cover sample.  Of the grams of each 400-byte window the one with the least hash (the leftmost of equals) is the
    window's sample position.  It depends on the window's bytes alone, so equal windows have it at the same offset, as a
