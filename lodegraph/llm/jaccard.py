@@ -8,20 +8,25 @@ Sets of hashed shingles are judged exactly; nothing that links is lost:
    linked sets agree on a whole part, so each part's digest is a list in the index.  Lists are split into
    blocks by set size (a size class and the next), so that a set skips all blocks whose sizes can't link.  A part without
    shingles says nothing; m grows by the number of empty parts that a set may leave out, chosen so that hardly any set
-   has more, and a set that has puts its empty parts into the index as well.  Of its lists a set needs only
-   the shortest, one more than the parts in which a linked set may differ (prefix filter over whole parts).
+   has more, and a set that has puts its empty parts into the index as well.  A set's lists have positions, the shortest
+   first; what stands behind the position that a linked set must have reached (one more than the parts in which it may
+   differ) is skipped.
 3. Answers from answers.  In each list one set leads; only the pairs (leader, member) are judged, and a linked member
    takes over the leader's component, so that the members of a list of copies are never compared with each other.
-   Further rounds lead with other sets, chosen by a hash, over the lists whose members are not in one component yet.
-   What is left in the end, pairs of sets of different components on a common list, is judged pair by pair, unless the
-   distances to a leader that both were judged against rule a link out (Jaccard distance obeys the triangle inequality).
+   What a member has and its leader hasn't, or the other way round, is its difference d; |x - y| of two members is that of
+   their differences, so that all further answers come from these, which are small, and not from the sets.  A shingle that
+   stands in one difference alone tells its member from all others: members with u own shingles and r others differ
+   by u + u' + |r - r'| at least.  A member with more own shingles than any link allows is done; the others are counted in
+   cells of (u, r), and a member stays only if its cell and one with another component are near enough.
+   Pairs of members that are left on a common list are judged as sets.
 4. Components of the links are found by star contraction.
 
 A pair is judged where its leader's slot is: members travel with their sets, dealt by leader and salt, so that a leader
 with very many members is spread over tasks.  Sets are made anew from the texts of those documents alone that need them.
 
 Null texts and texts without words have no shingles and link with nothing; a text of fewer words than a shingle is one
-shingle.  Repeated rows are copies of each other.  A null doc_id gives a null component unless a link gives one.
+shingle.  Repeated rows are copies of each other.  Rows with a null doc_id link as others do; they have the
+least doc_id of their component, or null where no member has one.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, table, text_bytes
@@ -152,15 +157,24 @@ class Plan:
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64), blocks
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def same_row(one: str, two: str) -> Column:
+    """Rows of one doc_id (null too) and text."""
+    return F.col(f"{one}.doc_id").eqNullSafe(F.col(f"{two}.doc_id")) & (F.col(f"{one}.h") == F.col(f"{two}.h"))
+
+
 def index_lists(docs: DataFrame, n: int, plan: Plan) -> DataFrame:
-    """doc_id, n_shingles, fp (0: no shingles), keys and blocks (null where this task gave them before for the same set)."""
+    """doc_id, h (of the text), n_shingles, fp (0: no shingles), keys and blocks (null where this task gave them before for the same set)."""
 
     def make() -> Callable:
         words, seen = Words(), set()
 
         def f(columns: list[list]) -> list[list]:
             sizes, fps, keys, blocks = [], [], [], []
-            for data in columns[1]:
+            for data in columns[2]:
                 own = shingles(data, n, words)
                 sizes.append(len(own))
                 fp = xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0
@@ -176,16 +190,17 @@ def index_lists(docs: DataFrame, n: int, plan: Plan) -> DataFrame:
                 k, b = plan.keys(own)
                 keys.append(k)
                 blocks.append(b)
-            return [columns[0], sizes, fps, keys, blocks]
+            return [columns[0], columns[1], sizes, fps, keys, blocks]
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", text_bytes().alias("t")), make, f"doc_id {kind}, n_shingles bigint, fp bigint, keys array<bigint>, blocks array<struct<block:int,lists:int,enough:int>>")
+    ddl = f"doc_id {kind}, h bigint, n_shingles bigint, fp bigint, keys array<bigint>, blocks array<struct<block:int,lists:int,enough:int>>"
+    return map_rows(docs.select("doc_id", text_hash().alias("h"), text_bytes().alias("t")), make, ddl)
 
 
 def judged(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, common, size_a, size_b, linked) of pairs (a, b) of fingerprints, a leading."""
+    """(a, b, size_a, size_b, linked, d) of pairs (a, b) of fingerprints, a leading; d: 32 bits of each shingle that one of them has alone."""
     weight = sets.select(F.col("fp").alias("b"), F.col("n_shingles").alias("w"))
     counted = pairs.join(weight, "b")
     load = counted.groupBy("a").agg(F.ceil(F.sum("w") / F.lit(SLOT)).cast("int").alias("slots"))
@@ -193,21 +208,20 @@ def judged(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent:
     leaders = load.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
     wanted = materialize(members.union(leaders), "jaccard-pairs")
     # one document stands for each set
-    stands = sets.join(wanted.select(F.col("b").alias("fp")).distinct(), "fp", "left_semi").select("doc_id", "fp")
+    stands = sets.join(wanted.select(F.col("b").alias("fp")).distinct(), "fp", "left_semi").select("one.doc_id", "one.h", "fp")
     small = stands.count() <= BROADCAST_ROWS
-    chosen = docs.join(F.broadcast(stands) if small else stands, "doc_id")
+    chosen = docs.select("doc_id", "text", text_hash().alias("h")).alias("x").join((F.broadcast(stands) if small else stands).alias("y"), same_row("x", "y"))
 
     def make() -> Callable:
-        words = Words()
+        words, seen = Words(), set()
 
         def f(columns: list[list]) -> list[list]:
             out: list[list] = [[], []]
             for fp, data in zip(*columns, strict=True):
-                own = shingles(data, n, words)
-                found = xxhash.xxh3_64_intdigest(own.tobytes())
-                if (found - (1 << 64) if found >> 63 else found) == fp:  # rows that share a doc_id have several texts
+                if fp not in seen:  # rows repeat
+                    seen.add(fp)
                     out[0].append(fp)
-                    out[1].append(own.tobytes())
+                    out[1].append(shingles(data, n, words).tobytes())
             return out
 
         return f
@@ -215,26 +229,28 @@ def judged(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent:
     made = map_rows(chosen.select("fp", text_bytes().alias("t")), make, "b bigint, own binary")
     dealt = made.join(wanted, "b").select("a", "slot", "b", "own")
     dealt = dealt.repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("a") != F.col("b"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64()), ("linked", pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64()), ("linked", pa.bool_()), ("d", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, lead = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for a, slot, b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(data, np.uint64)
-                if a == b:
-                    held, lead = (a, slot), own
-                    continue
-                if held != (a, slot):
-                    raise RuntimeError("a leader's set is missing")
-                common = int(np.intersect1d(lead, own, assume_unique=True).size)
-                linked = 100 * common >= percent * (len(lead) + len(own) - common)
-                for c, v in zip(out, (a, b, common, len(lead), len(own), linked), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
-
-    return dealt.mapInArrow(run, "a bigint, b bigint, common bigint, size_a bigint, size_b bigint, linked boolean")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                out: list[list] = [[] for _ in schema]
+                for a, slot, b, data in zip(*(c.to_pylist() for c in whole.slice(i, 256).columns), strict=True):
+                    own = np.frombuffer(data, np.uint64)
+                    if a == b:
+                        held, lead = (a, slot), own
+                        continue
+                    if held != (a, slot):
+                        raise RuntimeError("a leader's set is missing")
+                    d = np.setxor1d(lead, own, assume_unique=True)
+                    common = (len(lead) + len(own) - len(d)) // 2
+                    linked = 100 * common >= percent * (common + len(d))
+                    for c, v in zip(out, (a, b, len(lead), len(own), linked, (d >> np.uint64(32)).astype(np.uint32).view(np.int32)), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, size_a bigint, size_b bigint, linked boolean, d array<int>")
 
 
 def shortest(found: DataFrame, needs: DataFrame) -> DataFrame:
@@ -250,94 +266,132 @@ def shortest(found: DataFrame, needs: DataFrame) -> DataFrame:
     return kept.join(several, "key", "left_semi")
 
 
-def leading(lists: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs (a, b): each list's leader with each other member.  The set leads that shares lists with most
-    others (an original does so more than its copies); in later turns the least by a hash that is another each turn."""
-    if turn:
-        ordered = lists.withColumn("o", F.xxhash64("fp", F.lit(turn)))
-    else:
-        mates = lists.join(lists.groupBy("key").count(), "key").groupBy("fp").agg((-F.sum("count")).alias("o"))
-        ordered = lists.join(mates, "fp")
-    lead = ordered.groupBy("key").agg(F.min(F.struct("o", F.col("fp").alias("a"))).alias("l")).select("key", F.col("l.a").alias("a"))
-    return lists.join(lead, "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+def leading(lists: DataFrame) -> DataFrame:
+    """key, a, fp: lists with their leaders.  The set leads that shares lists with most others (an original does so more than its copies)."""
+    mates = lists.join(lists.groupBy("key").count(), "key").groupBy("fp").agg((-F.sum("count")).alias("o"))
+    lead = lists.join(mates, "fp").groupBy("key").agg(F.min(F.struct("o", F.col("fp").alias("a"))).alias("l")).select("key", F.col("l.a").alias("a"))
+    return lists.join(lead, "key").select("key", "a", "fp")
+
+
+#: Cells of a leader's members: a link's difference has so many of them.
+CELLS = 24
+
+
+def most(size_x: Column | str, size_y: Column | str, percent: int) -> Column:
+    """Shingles by which linked sets of these sizes differ at most."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (size_x, size_y))
+    return F.floor((x + y) * (100 - percent) / (100 + percent))
+
+
+def members(judgements: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """a, b, size, u, r, cu, cr, root of judged members that may link with other members of a: u shingles of the difference from a are b's alone among a's members, r are not."""
+    elements = judgements.select("a", "b", F.explode("d").alias("e"))
+    own = elements.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).where("n = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("u"))
+    known = judgements.select("a", "b", F.col("size_a"), F.col("size_b").alias("size"), F.size("d").alias("n")).join(own, ["a", "b"], "left")
+    u = F.coalesce("u", F.lit(0))
+    step = F.greatest(F.lit(1), F.floor(2 * F.col("size_a") * (100 - percent) / (100 + percent) / CELLS))
+    widest = F.floor(F.col("size") * 100 / percent)
+    return (
+        known.select("a", "b", "size", u.alias("u"), (F.col("n") - u).alias("r"), step.alias("step"))
+        .where(F.col("u") <= most(F.col("size"), widest, percent))
+        .select("a", "b", "size", "u", "r", F.floor(F.col("u") / F.col("step")).alias("cu"), F.floor(F.col("r") / F.col("step")).alias("cr"), "step")
+        .join(roots.select(F.col("fp").alias("b"), "root"), "b", "left")
+        .withColumn("root", F.coalesce("root", "b"))
+    )
+
+
+def near_cells(own: DataFrame, percent: int) -> DataFrame:
+    """a, cu, cr of cells with a member that may link with a member of another component.
+
+    A leader's cells are bounded in number, whatever its members are: u is below a link's difference, r below both sizes."""
+    cells = own.groupBy("a", "cu", "cr", "step").agg(F.max("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    gathered = cells.groupBy("a", "step").agg(F.collect_list(F.struct("cu", "cr", "size", "low", "high")).alias("cells"))
+
+    def make() -> Callable:
+        def f(columns: list[list]) -> list[list]:
+            out: list[list] = [[], [], []]
+            for a, step, cells in zip(*columns, strict=True):
+                u, r, size, low, high = (np.array([c[k] for c in cells], np.int64) for k in ("cu", "cr", "size", "low", "high"))
+                for k in range(len(cells)):
+                    gap = np.maximum(0, np.abs(r - r[k]) - 1)
+                    near = (u + u[k] + gap) * step * (100 + percent) <= (size + size[k]) * (100 - percent)
+                    if (near & ((low != low[k]) | (high != high[k]) | (low != high))).any():
+                        for c, v in zip(out, (a, int(u[k]), int(r[k])), strict=True):
+                            c.append(v)
+            return out
+
+        return f
+
+    return map_rows(gathered.select("a", "step", "cells"), make, "a bigint, cu bigint, cr bigint", chunk=64)
+
+
+def further_pairs(lists: DataFrame, judgements: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of members of one list, of different components, whose differences from the leader allow a link."""
+    named = lists.where("a <> fp").join(roots, "fp", "left").select("key", "a", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key")
+    left = materialize(lists.where("a <> fp").join(mixed, "key", "left_semi"), "jaccard-open")
+    wanted = left.select("a", F.col("fp").alias("b")).distinct()
+    own = materialize(members(judgements.join(wanted, ["a", "b"], "left_semi"), roots, percent), "jaccard-members")
+    stay = materialize(own.join(near_cells(own, percent), ["a", "cu", "cr"], "left_semi"), "jaccard-near")
+    rows = left.join(stay.withColumnRenamed("b", "fp"), ["a", "fp"]).select("key", "fp", "size", "u", "r", "root")
+    x, y = rows.alias("x"), rows.alias("y")
+    reach = F.col("x.u") + F.col("y.u") + F.abs(F.col("x.r") - F.col("y.r")) <= most("x.size", "y.size", percent)
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & reach)
+    return found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
-    """doc_id, n_shingles, root: documents with one root are a component; root is null where there are no shingles, or no doc_id."""
+def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, h, n_shingles, root: documents with one root are a component; root is null where there are no shingles."""
     plan = Plan(percent)
-    indexed = materialize(index_lists(docs.where("doc_id is not null"), n, plan), "jaccard-index")
-    unnamed = index_lists(docs.where("doc_id is null"), n, plan).select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("root"))
-    sets = indexed.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    indexed = materialize(index_lists(docs, n, plan), "jaccard-index")
+    sets = indexed.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.min("n_shingles").alias("n_shingles"))
     sets = materialize(sets, "jaccard-sets")
     # one exchange serves both the lists and the test for two sets or more: there the least and the greatest fingerprint differ
     keyed = indexed.where("keys is not null").select("fp", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.count(F.lit(1)).alias("size")).where("u <> v").select("key", "size")
     found = materialize(keyed.join(shared, "key").distinct(), "jaccard-shared")
     needs = indexed.where("keys is not null").select("fp", F.inline("blocks")).distinct()
-    lists = materialize(shortest(found, needs), "jaccard-lists")
-
-    tried = roots = None
-    for k in range(rounds + 1):
-        if k < rounds:
-            pairs = leading(lists, k)
-        else:
-            one = lists.select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
-            two = lists.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-            pairs = beyond_reach(one.join(two, "key").where("ra < rb").select("a", "b").distinct(), tried, percent)
-        if tried is not None:
-            done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "jaccard-candidates")
-        if pairs.isEmpty():
-            if tried is None:
-                break
-            continue
-        now = materialize(judged(docs, sets, pairs, n, percent), "jaccard-judged")
-        tried = now if tried is None else tried.union(now)
-        roots = materialize(components(tried.where("linked").select("a", "b")), "jaccard-roots").withColumnRenamed("node", "fp")
-        if k < rounds:  # lists whose members are not in one component yet
-            named = lists.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-            mixed = named.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key")
-            lists = materialize(named.join(mixed, "key", "left_semi"), "jaccard-open")
-            if lists.isEmpty():
-                break
-    found = indexed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
-    if roots is None:
-        named = found.withColumnRenamed("fp", "root")
-    else:
-        named = found.join(roots, "fp", "left").select("doc_id", "n_shingles", F.coalesce("root", "fp").alias("root"))
-    return named.unionByName(unnamed)
-
-
-def beyond_reach(pairs: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """pairs without those that a leader judged against both rules out: distances to it differ by more than a link's distance."""
-    reach = 1 - percent / 100
-    distance = tried.select(F.col("a").alias("l"), F.col("b").alias("x"), (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("d"))
-    lead = distance.groupBy("x").agg(F.min_by("l", "d").alias("l"), F.min("d").alias("d"))
-    first = lead.select(F.col("x").alias("a"), F.col("l"), F.col("d").alias("da"))
-    other = distance.select(F.col("x").alias("b"), F.col("l"), F.col("d").alias("db"))
-    out = pairs.join(first, "a").join(other, ["b", "l"]).where(F.abs(F.col("da") - F.col("db")) > reach + 1e-9).select("a", "b").distinct()
-    return pairs.join(out, ["a", "b"], "left_anti")
+    lists = materialize(leading(materialize(shortest(found, needs), "jaccard-lists")), "jaccard-led")
+
+    found = indexed.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
+    pairs = materialize(lists.where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "jaccard-first")
+    if pairs.isEmpty():
+        return found.withColumnRenamed("fp", "root")
+    first = materialize(judged(docs, sets, pairs, n, percent), "jaccard-judged")
+    links = first.where("linked").select("a", "b")
+    roots = materialize(components(links), "jaccard-roots").withColumnRenamed("node", "fp")
+    done = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = materialize(further_pairs(lists, first, roots, percent).join(done, ["a", "b"], "left_anti"), "jaccard-further")
+    if not more.isEmpty():
+        links = links.union(materialize(judged(docs, sets, more, n, percent), "jaccard-judged").where("linked").select("a", "b"))
+        roots = materialize(components(links), "jaccard-roots").withColumnRenamed("node", "fp")
+    return found.join(roots, "fp", "left").select("doc_id", "h", "n_shingles", F.coalesce("root", "fp").alias("root"))
 
 
 def component_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+    """doc_id, h, n_shingles, component_id, and whether the row's document is the one that stays of its component."""
     found = groups(docs, n, percent)
-    least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h"))
+    least = found.where("root is not null").groupBy("root").agg(first.alias("one"))
+    stays = F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("h") == F.col("one.h"))
+    return found.join(least, "root", "left").select("doc_id", "h", "n_shingles", F.coalesce("one.doc_id", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near duplicates: of each component the document of the least doc_id stays (one row, should the
-    doc_id be repeated); so do documents without shingles or doc_id."""
-    rows = materialize(component_rows(docs, n, percent), "jaccard-rows").where("n_shingles > 0 and doc_id is not null")
-    gone = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    repeated = rows.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """docs without near duplicates: of each component the document of the least doc_id stays (a null one
+    only where there is no other; one row, should document and text be repeated); so do documents without shingles.
+    Rows that share a doc_id and differ in text are judged each by its own text."""
+    rows = materialize(component_rows(docs, n, percent), "jaccard-rows")
+    gone = rows.where("not stays").select("doc_id", "h").distinct()
+    own = docs.select(F.struct("*").alias("row"), "doc_id", text_hash().alias("h"))
+    left = own.alias("x").join((F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone).alias("y"), same_row("x", "y"), "left_anti")
+    repeated = rows.where("stays and n_shingles > 0").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
     if not repeated.isEmpty():
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*docs.columns)
+        again = left.alias("x").join(repeated.alias("y"), same_row("x", "y"), "left_semi").dropDuplicates(["doc_id", "h"])
+        left = left.alias("x").join(repeated.alias("y"), same_row("x", "y"), "left_anti").unionByName(again)
+    return left.select("row.*")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return component_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return component_rows(docs, 4, 85).select("doc_id", "n_shingles", "component_id")

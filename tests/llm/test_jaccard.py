@@ -54,12 +54,10 @@ def near_copies(seed, groups=12):
     return out
 
 
-@pytest.mark.parametrize(("n", "percent", "seed", "rounds"), [(4, 85, 1, 2), (5, 80, 2, 2), (4, 85, 3, 0)])
-def test_components_against_all_pairs(spark, monkeypatch, n, percent, seed, rounds):
+@pytest.mark.parametrize(("n", "percent", "seed", "cells"), [(4, 85, 1, 24), (5, 80, 2, 24), (4, 85, 3, 2)])
+def test_components_against_all_pairs(spark, monkeypatch, n, percent, seed, cells):
     monkeypatch.setattr(jaccard, "SLOT", 500)
-    plain = jaccard.groups
-    if rounds == 0:
-        monkeypatch.setattr(jaccard, "groups", lambda d, n, p: plain(d, n, p, rounds=2))
+    monkeypatch.setattr(jaccard, "CELLS", cells)
     texts = near_copies(seed) + odd_texts()
     rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.component_rows(documents(spark, texts), n, percent).collect()}
     want = brute(texts, n, percent)
@@ -136,11 +134,45 @@ def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (5, "a b c d e f g"), (6, None), (7, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.component_rows(docs, 4, 85).collect()), key=str)
-    assert got == sorted([(None, 4, None), (3, 4, 3), (3, 4, 3), (5, 4, 3), (6, 0, 6), (7, 0, 7)], key=str)
-    assert sorted((r["doc_id"] for r in jaccard.one_of_each(docs).collect()), key=str) == sorted([None, 3, 6, 7], key=str)
+    assert got == sorted([(None, 4, 3), (3, 4, 3), (3, 4, 3), (5, 4, 3), (6, 0, 6), (7, 0, 7)], key=str)
+    assert sorted((r["doc_id"] for r in jaccard.one_of_each(docs).collect()), key=str) == sorted([3, 6, 7], key=str)
     assert jaccard.component_rows(docs.where("false"), 4, 85).count() == 0
 
 
+def test_a_null_id_links_what_stands_at_both_sides(spark):
+    base = [f"w{k}" for k in range(200)]
+    one, two, three = base, base[:100] + ["x"] + base[101:], base[:100] + ["x"] + base[101:150] + ["y", "z", "q"] + base[153:]
+    far = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, " ".join(one)), (None, " ".join(two)), (2, " ".join(three)), (None, far), (None, far), (9, "other words of another text here"), (9, "second text of this doc_id stays too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute([t for _, t in rows], 4, 94)
+    assert want[2][1] == 0 and brute([rows[0][1], rows[2][1]], 4, 94)[1][1] == 1  # over the null row alone
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.component_rows(docs, 4, 94).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (9, 9), (9, 9)], key=str)
+    assert sorted((r["doc_id"] for r in jaccard.one_of_each(docs, 4, 94).collect()), key=str) == sorted([1, None, 9, 9], key=str)
+
+
+def family(seed, size=80, members=150):
+    """One original and copies with more and more changes, many of them just beyond the limit; some are copies of copies."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(size)]
+    out = [" ".join(base)]
+    for _ in range(members):
+        own = rnd.choice(out[-9:]).split() if rnd.random() < 0.15 else list(base)
+        for _ in range(rnd.randint(0, 6)):
+            k = rnd.randrange(len(own))
+            own[k : k + 1] = rnd.choice([[], [f"x{rnd.randrange(99)}"], [own[k], "y"]])
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_about_the_limit(spark, seed):
+    texts = [t for k in range(3) for t in family(10 * seed + k)]
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard.component_rows(documents(spark, texts), 4, 85).collect()}
+    assert rows == {k: c for k, (_, c) in enumerate(brute(texts, 4, 85))}
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(k, k + 1) for k in range(40, 120)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)] + [(500, k) for k in range(501, 700)]
