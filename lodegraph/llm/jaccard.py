@@ -16,7 +16,7 @@ Sets of hashed shingles are judged exactly; nothing that links is lost:
    What a member has and its leader hasn't, or the other way round, is its difference d; |x - y| of two members is that of
    their differences, so that all further answers come from these, which are small, and not from the sets.  A shingle that
    stands in one difference alone tells its member from all others: members with u own shingles and r others differ
-   by u + u' + |r - r'| at least.  A member with more own shingles than any link allows is done; the others are counted in
+   by u + u' + |r - r'| at least, and by as many as there are unlike bits in the parities of their differences.  A member with more own shingles than any link allows is done; the others are counted in
    cells of (u, r), and a member stays only if its cell and one with another component are near enough.
    Pairs of members that are left on a common list are judged as sets.
 4. Components of the links are found by star contraction.
@@ -199,8 +199,17 @@ def index_lists(docs: DataFrame, n: int, plan: Plan) -> DataFrame:
     return map_rows(docs.select("doc_id", text_hash().alias("h"), text_bytes().alias("t")), make, ddl)
 
 
+def parity(d: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Whether an odd number of a difference's shingles falls on each of so many bits as the leader's size wants.
+
+    Where two of a leader's members have unlike bits, a shingle tells them apart."""
+    words = max(4, -(-6 * 2 * size * (100 - percent) // (100 + percent) // 64))
+    bits = np.bincount((d & np.uint64(0xFFFFFFFF)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def judged(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, size_a, size_b, linked, d) of pairs (a, b) of fingerprints, a leading; d: 32 bits of each shingle that one of them has alone."""
+    """(a, b, size_a, size_b, linked, d, bits) of pairs (a, b) of fingerprints, a leading; d: 32 bits of each shingle that one of them has alone; bits: see parity."""
     weight = sets.select(F.col("fp").alias("b"), F.col("n_shingles").alias("w"))
     counted = pairs.join(weight, "b")
     load = counted.groupBy("a").agg(F.ceil(F.sum("w") / F.lit(SLOT)).cast("int").alias("slots"))
@@ -229,7 +238,7 @@ def judged(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent:
     made = map_rows(chosen.select("fp", text_bytes().alias("t")), make, "b bigint, own binary")
     dealt = made.join(wanted, "b").select("a", "slot", "b", "own")
     dealt = dealt.repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("a") != F.col("b"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64()), ("linked", pa.bool_()), ("d", pa.list_(pa.int32()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64()), ("linked", pa.bool_()), ("d", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, lead = None, np.zeros(0, np.uint64)
@@ -246,11 +255,11 @@ def judged(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent:
                     d = np.setxor1d(lead, own, assume_unique=True)
                     common = (len(lead) + len(own) - len(d)) // 2
                     linked = 100 * common >= percent * (common + len(d))
-                    for c, v in zip(out, (a, b, len(lead), len(own), linked, (d >> np.uint64(32)).astype(np.uint32).view(np.int32)), strict=True):
+                    for c, v in zip(out, (a, b, len(lead), len(own), linked, (d >> np.uint64(32)).astype(np.uint32).view(np.int32), parity(d, len(lead), percent)), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, size_a bigint, size_b bigint, linked boolean, d array<int>")
+    return dealt.mapInArrow(run, "a bigint, b bigint, size_a bigint, size_b bigint, linked boolean, d array<int>, bits array<bigint>")
 
 
 def shortest(found: DataFrame, needs: DataFrame) -> DataFrame:
@@ -284,17 +293,17 @@ def most(size_x: Column | str, size_y: Column | str, percent: int) -> Column:
 
 
 def members(judgements: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """a, b, size, u, r, cu, cr, root of judged members that may link with other members of a: u shingles of the difference from a are b's alone among a's members, r are not."""
+    """a, b, size, u, r, cu, cr, bits, root of judged members that may link with other members of a: u shingles of the difference from a are b's alone among a's members, r are not."""
     elements = judgements.select("a", "b", F.explode("d").alias("e"))
     own = elements.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).where("n = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("u"))
-    known = judgements.select("a", "b", F.col("size_a"), F.col("size_b").alias("size"), F.size("d").alias("n")).join(own, ["a", "b"], "left")
+    known = judgements.select("a", "b", F.col("size_a"), F.col("size_b").alias("size"), F.size("d").alias("n"), "bits").join(own, ["a", "b"], "left")
     u = F.coalesce("u", F.lit(0))
     step = F.greatest(F.lit(1), F.floor(2 * F.col("size_a") * (100 - percent) / (100 + percent) / CELLS))
     widest = F.floor(F.col("size") * 100 / percent)
     return (
-        known.select("a", "b", "size", u.alias("u"), (F.col("n") - u).alias("r"), step.alias("step"))
+        known.select("a", "b", "size", "bits", u.alias("u"), (F.col("n") - u).alias("r"), step.alias("step"))
         .where(F.col("u") <= most(F.col("size"), widest, percent))
-        .select("a", "b", "size", "u", "r", F.floor(F.col("u") / F.col("step")).alias("cu"), F.floor(F.col("r") / F.col("step")).alias("cr"), "step")
+        .select("a", "b", "size", "bits", "u", "r", F.floor(F.col("u") / F.col("step")).alias("cu"), F.floor(F.col("r") / F.col("step")).alias("cr"), "step")
         .join(roots.select(F.col("fp").alias("b"), "root"), "b", "left")
         .withColumn("root", F.coalesce("root", "b"))
     )
@@ -333,10 +342,12 @@ def further_pairs(lists: DataFrame, judgements: DataFrame, roots: DataFrame, per
     wanted = left.select("a", F.col("fp").alias("b")).distinct()
     own = materialize(members(judgements.join(wanted, ["a", "b"], "left_semi"), roots, percent), "jaccard-members")
     stay = materialize(own.join(near_cells(own, percent), ["a", "cu", "cr"], "left_semi"), "jaccard-near")
-    rows = left.join(stay.withColumnRenamed("b", "fp"), ["a", "fp"]).select("key", "fp", "size", "u", "r", "root")
+    rows = left.join(stay.withColumnRenamed("b", "fp"), ["a", "fp"]).select("key", "fp", "size", "u", "r", "bits", "root")
     x, y = rows.alias("x"), rows.alias("y")
-    reach = F.col("x.u") + F.col("y.u") + F.abs(F.col("x.r") - F.col("y.r")) <= most("x.size", "y.size", percent)
-    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & reach)
+    reach = most("x.size", "y.size", percent)
+    unlike = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    near = (F.col("x.u") + F.col("y.u") + F.abs(F.col("x.r") - F.col("y.r")) <= reach) & (unlike <= reach)
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near)
     return found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
