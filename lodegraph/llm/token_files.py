@@ -10,7 +10,7 @@ leaves the files of the first run unread.  The driver sees one line a file (path
 it sums the starts.
 
 Null and empty texts hold just the end id.  A null doc_id comes first and stays null; rows that share a doc_id
-stand one after the other.  An empty table gives no files and no rows.
+stand one after the other, by the hash of their texts (xxhash64), then by text.  An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 
-#: Letters and punctuation between which the tokenizer always splits, and whose lower case is plain.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?|]*)")
+#: Words of Latin-1 without capitals and apostrophes (these bind some letters behind them), and their pieces: runs of letters
+#: and of what are none.  The tokenizer always splits between these.
+SIMPLE = re.compile("[!-&(-@\\[-¿×ß-ÿ]+").fullmatch
+PIECES = re.compile("[a-zªµºß-öø-ÿ]+|[^a-zªµºß-öø-ÿ]+").findall
+LETTERS = re.compile("[a-zªµºß-öø-ÿ]+").fullmatch
+#: The letters by which the tokenizer spells bytes: printable ones stand for themselves, the others follow from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(sorted({*range(256)}.difference(PRINTED)))}
 MAGIC = b"DAC1"
 BLOCK = 512
 END = 1
@@ -119,8 +125,8 @@ class TokenFile:
 class Encoder:
     """ids of texts as bytes of little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and never joins what stands at both sides of it, so a text's ids are
-    those of its pieces between blanks, one after the other.  Pieces met before come from a cache of bounded size."""
+    The tokenizer drops white space and never joins what stands at both sides of it, nor letters with what are none, so a text's
+    ids are those of such pieces, one after the other.  Pieces met before come from a cache of bounded size."""
 
     def __init__(self, path: str, cache_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,17 +142,36 @@ class Encoder:
             for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
+    def add_letters(self, words: set[str]) -> None:
+        """Runs of Latin-1 letters in lower case: normalisation and splitting leave them as they are, so they go to the merges at once."""
+        tokenize, cache = self.tokenizer.model.tokenize, self.cache
+        for w in words:
+            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in tokenize(spelled)]
+            cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def split(self, text: str) -> list[str]:
+        """Words between blanks; in lower case where that is plain (Latin-1, and no special token, which is known by its case)."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        return (text if "<|" in text else text.lower()).replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.split(t) for t in texts]
         if len(self.cache) > self.cache_size:
             self.cache = {"": b""}
         cache = self.cache
-        missing = {w for words in split for w in words if w not in cache}
-        # letters with punctuation behind them: two pieces of the tokenizer's, the letters in lower case
-        parts = {w: (m[1].lower(), m[2]) for w in missing if (m := PLAIN.fullmatch(w))}
-        self.add([*missing.difference(parts), *({x for two in parts.values() for x in two if x not in cache} - (missing - parts.keys()))])
-        for w, (letters, behind) in parts.items():
-            cache[w] = cache[letters] + cache[behind]
+        missing = set().union(*split).difference(cache)
+        parts = {w: PIECES(w) for w in missing if SIMPLE(w) and "<|" not in w}
+        wanted = set().union(*parts.values()).difference(cache)
+        letters = {x for x in wanted if LETTERS(x)}
+        self.add_letters(letters)
+        self.add([*missing.difference(parts), *(wanted - letters)])
+        for w, pieces in parts.items():
+            if len(pieces) > 1:
+                cache[w] = b"".join(map(cache.__getitem__, pieces))
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
@@ -212,7 +237,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, file_tokens: int =
     system, base = store(folder)
     system.create_dir(base, recursive=True)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    own = own.withColumn("h", F.xxhash64("text"))
+    ordered = own.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     rows = ordered.mapInArrow(run, "part bigint, number bigint, uri string, docs bigint, tokens bigint").collect()
     return [(r["uri"], r["docs"], r["tokens"]) for r in sorted(rows, key=lambda r: (r["part"], r["number"]))]
 
