@@ -16,6 +16,16 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def softmax_of(x: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> float:
+    """Turns logits into probabilities, in place; gives the sum of the goals' log probabilities."""
+    x -= x.max(axis=1, keepdims=True)
+    at_goal = float(x[rows, goal].sum(dtype=np.float64))
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    x /= total
+    return at_goal - float(np.log(total).sum(dtype=np.float64))
+
+
 class Adam:
     """Steps along gradients, their lengths bounded."""
 
@@ -85,40 +95,60 @@ class Gru:
         p, n = self.p, self.hidden
         out, kept = self.states(inputs, h)
         g = {k: np.zeros_like(x) for k, x in p.items()}
-        flat, goal = out.reshape(-1, n), targets.ravel()
+        # words of one class side by side: each class works on a stretch of rows
+        order = np.argsort(targets.ravel() // self.width, kind="stable")
+        flat, goal = out.reshape(-1, n)[order], targets.ravel()[order]
         cls, inner = goal // self.width, goal % self.width
-        lc = log_softmax(flat @ p["C"] + p["c"])
+        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
         rows = np.arange(len(goal))
-        loss = -float(lc[rows, cls].sum())
-        d = np.exp(lc)
-        d[rows, cls] -= 1
-        g["C"], g["c"] = flat.T @ d, d.sum(axis=0)
-        dh = d @ p["C"].T
-        for k in np.unique(cls):
-            own = np.flatnonzero(cls == k)
-            lw = log_softmax(flat[own] @ p["V"][k] + p["v"][k])
-            loss -= float(lw[np.arange(len(own)), inner[own]].sum())
-            d = np.exp(lw)
-            d[np.arange(len(own)), inner[own]] -= 1
-            g["V"][k], g["v"][k] = flat[own].T @ d, d.sum(axis=0)
-            dh[own] += d @ p["V"][k].T
-        dh = dh.reshape(out.shape)
+        lc = flat @ p["C"]
+        lc += p["c"]
+        loss = -softmax_of(lc, rows, cls)
+        lc[rows, cls] -= 1
+        g["C"], g["c"] = flat.T @ lc, lc.sum(axis=0)
+        dh = lc @ p["C"].T
+        lw = np.empty((len(goal), self.width), flat.dtype)
+        for k in range(self.classes):
+            i, j = edges[k], edges[k + 1]
+            if i < j:
+                np.matmul(flat[i:j], p["V"][k], out=lw[i:j])
+                lw[i:j] += p["v"][k]
+        loss -= softmax_of(lw, rows, inner)
+        lw[rows, inner] -= 1
+        for k in range(self.classes):
+            i, j = edges[k], edges[k + 1]
+            if i < j:
+                g["V"][k], g["v"][k] = flat[i:j].T @ lw[i:j], lw[i:j].sum(axis=0)
+                dh[i:j] += lw[i:j] @ p["V"][k].T
+        back_in_place = np.empty_like(dh)
+        back_in_place[order] = dh
+        dh = back_in_place.reshape(out.shape)
         back = np.zeros_like(h)
         dx = np.empty((*inputs.shape, 3 * n), h.dtype)
+        du = np.empty((*inputs.shape, 3 * n), h.dtype)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, new, u = kept[t]
-            back = back + dh[t]
-            dnew = back * (1 - z) * (1 - new * new)
-            dz = back * (before - new) * z * (1 - z)
-            dr = dnew * u * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dnew], axis=1)
-            du = np.concatenate([dz, dr, dnew * r], axis=1)
-            g["U"] += before.T @ du
-            back = back * z + du @ p["U"].T
-        flat_x, e = dx.reshape(-1, 3 * n), inputs.ravel()
+            back += dh[t]
+            hold = back * z
+            dnew = (back - hold) * (1 - new * new)
+            dx[t, :, :n] = (before - new) * (hold - hold * z)
+            dr = dnew * r
+            du[t, :, 2 * n :] = dr
+            dx[t, :, n : 2 * n] = dr * u * (1 - r)
+            dx[t, :, 2 * n :] = dnew
+            du[t, :, : 2 * n] = dx[t, :, : 2 * n]
+            back = du[t] @ p["U"].T
+            back += hold
+        g["U"] = np.concatenate([k[0] for k in kept]).T @ du.reshape(-1, 3 * n)
+        flat_x = dx.reshape(-1, 3 * n)
         g["b"] = flat_x.sum(axis=0)
-        g["W"] = p["E"][e].T @ flat_x
-        np.add.at(g["E"], e, flat_x @ p["W"].T)
+        # the inputs' gradients, summed by word
+        e = inputs.ravel()
+        order = np.argsort(e, kind="stable")
+        words, first = np.unique(e[order], return_index=True)
+        by_word = np.add.reduceat(flat_x[order], first, axis=0) if len(e) else flat_x
+        g["W"] = p["E"][words].T @ by_word
+        g["E"][words] = by_word @ p["W"].T
         return loss, g, out[-1]
 
     def train(self, stream: np.ndarray, batch: int = 32, window: int = 32, epochs: int = 3, rate: float = 0.01) -> list[float]:

@@ -22,6 +22,7 @@ import copy
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from .gru import UNKNOWN, Adam, Gru
 
 #: The training documents are dealt to so many rounds; the rate halves each round.
 ROUNDS, RATE = 3, 0.01
-#: Words that a task gathers for a pass of training, at least.
-BLOCK = 65_536
+#: Words that a task gathers for a pass of training, at least, and rows of words side by side in it, at most.
+BLOCK, LANES = 262_144, 1024
 #: Words of the sample that the start is trained on, about.
 START_WORDS = 400_000
 
@@ -96,6 +97,21 @@ class Lookup(dict):
         return at
 
 
+def placed(datas: list[bytes], lookup: Lookup) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts, their places, the text of each, and the texts' numbers of words."""
+    split = [data.lower().split() for data in datas]
+    lens = np.fromiter(map(len, split), np.int64, len(split))
+    words = list(chain.from_iterable(split))
+    return words, np.fromiter(map(lookup.__getitem__, words), np.int64, len(words)), np.repeat(np.arange(len(split)), lens), lens
+
+
+def with_ends(at: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """Places with each text's end, whose place is 0, behind it."""
+    out = np.zeros(len(at) + texts, np.int64)
+    out[np.arange(len(at)) + owner] = at
+    return out
+
+
 def numbers(at: np.ndarray, vocabulary: int) -> np.ndarray:
     """Word numbers of the model: places below its vocabulary, moved up by the unknown word."""
     return np.where((at >= 0) & (at < vocabulary - 1), at + 1, UNKNOWN)
@@ -130,14 +146,13 @@ def average_round(model: Gru, docs: DataFrame, hashes: np.ndarray, vocabulary: i
         parts, waiting, words = [end], 0, 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                for data in batch.slice(i, 256).column(0).to_pylist():
-                    split = data.lower().split()
-                    at = np.fromiter(map(lookup.__getitem__, split), np.int64, len(split))
-                    parts += [numbers(at, vocabulary), end]
-                    waiting += len(split) + 1
-                    if waiting >= BLOCK:
-                        words += own.learn(adam, np.concatenate(parts), rate, lanes)
-                        parts, waiting = [end], 0
+                datas = batch.slice(i, 256).column(0).to_pylist()
+                _, at, owner, _ = placed(datas, lookup)
+                parts.append(numbers(with_ends(at, owner, len(datas)), vocabulary))
+                waiting += len(parts[-1])
+                if waiting >= BLOCK:
+                    words += own.learn(adam, np.concatenate(parts), rate, lanes)
+                    parts, waiting = [end], 0
         words += own.learn(adam, np.concatenate(parts), rate, lanes)
         if words:
             weights = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float32)
@@ -167,13 +182,11 @@ def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int =
     # the least count of a word in the table: the most words that fit
     least, fit = 1, 0
     if v > table_words:
-        levels = counts.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator()
-        for r in levels:
-            if fit + r["count"] > table_words:
+        for r in counts.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
+            fit += r["count"]
+            if fit > table_words:
+                least = r["c"] + 1
                 break
-            fit, least = fit + r["count"], r["c"]
-        else:
-            least = 1
     head = counts.where((F.col("c") >= least) | (F.col("word") == END))
     rows = head.toPandas()
     rows = rows.iloc[np.lexsort((rows["word"].to_numpy(), -rows["c"].to_numpy(), rows["word"].to_numpy() != END))]
@@ -185,7 +198,7 @@ def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int =
     model = Gru(np.concatenate([[max(0.0, n - known.sum())], known]), hidden)
     start_model(model, training, n, Lookup(hashes), vocabulary, train_documents)
     for k in range(ROUNDS):
-        average_round(model, training.where(round_of() == k), hashes[: vocabulary - 1], vocabulary, RATE * 0.5**k, lanes=min(256, max(32, n // 100_000)))
+        average_round(model, training.where(round_of() == k), hashes[: vocabulary - 1], vocabulary, RATE * 0.5**k, lanes=min(LANES, max(32, n // 100_000)))
 
     sent = spark.sparkContext.broadcast((hashes, c, model))
     norm = float(np.log10(n + 1 * (v + 1)))
@@ -195,30 +208,36 @@ def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int =
     def make():
         hashes, c, model = sent.value
         lookup = Lookup(hashes)
-        log_c = np.log10(c + 1.0)
+        log_c = np.log10(c + 1.0)  # a word beyond the table has place -1; what stands there is not used
 
         def f(columns: list[list]) -> list[list]:
             doc_ids, held, datas = columns
-            places, rare_words, rare_times, base, known_tokens, rest = [], [], [], [], [], []
-            for data in datas:
-                words = data.lower().split()
-                at = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
-                at = np.append(at, 0)
-                places.append(numbers(at, vocabulary))
-                inside = at >= 0
-                rare = Counter() if all_in_table else Counter(words[k] for k in np.flatnonzero(~inside).tolist())
-                rare_words.append([hash_of(w) for w in rare])
-                rare_times.append(list(rare.values()))
-                own = log_c[at[inside]]
-                # words that no training document has: c = 0, all of them where the table is complete
-                base.append(float(own.sum()) - len(at) * norm)
-                known_tokens.append(int((c[at[inside]] > 0).sum()))
-                beyond = own[at[inside] >= vocabulary - 1]
-                missing = int((~inside).sum()) + len(beyond)
-                rest.append(float(beyond.sum()) - missing * log_unknown)
-            score = model.log_probability(places, 1) / np.log(10)
+            words, at, owner, lens = placed(datas, lookup)
+            texts = len(datas)
+            inside = at >= 0
+            own = np.where(inside, log_c[at], 0.0)
+            # words that no training document has: c = 0, all of them where the table is complete
+            base = np.bincount(owner, own, texts) + log_c[0] - (lens + 1) * norm
+            known_tokens = np.bincount(owner[inside & (c[at] > 0)], minlength=texts) + int(c[0] > 0)
+            beyond = at >= vocabulary - 1
+            rest = np.bincount(owner[beyond], own[beyond], texts) - np.bincount(owner[beyond | ~inside], minlength=texts) * log_unknown
+            rare_words: list = [[] for _ in datas]
+            rare_times: list = [[] for _ in datas]
+            if not all_in_table and not inside.all():
+                out = np.flatnonzero(~inside)
+                hashed = np.fromiter((hash_of(words[k]) for k in out.tolist()), np.int64, len(out))
+                order = np.lexsort((hashed, owner[out]))
+                x, d = hashed[order], owner[out][order]
+                first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (d[1:] != d[:-1])]))
+                times, x, d = np.diff(np.append(first, len(x))), x[first], d[first]
+                for k in np.unique(d).tolist():
+                    i, j = np.searchsorted(d, k), np.searchsorted(d, k, "right")
+                    rare_words[k], rare_times[k] = x[i:j], times[i:j]
+            edges = np.cumsum(lens + 1)
+            places = np.split(numbers(with_ends(at, owner, texts), vocabulary), edges[:-1])
+            score = model.log_probability(places, 1) / np.log(10) + rest
             ids = [uuid.uuid4().int >> 65 for _ in doc_ids]
-            return [doc_ids, held, [len(x) for x in places], known_tokens, base, [float(a) + b for a, b in zip(score, rest, strict=True)], ids, rare_words, rare_times]
+            return [doc_ids, held, lens + 1, known_tokens, base, score, ids, rare_words, rare_times]
 
         return f
 
