@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.store import settle
+
 
 @dataclass
 class Label:
@@ -60,7 +62,7 @@ class GraphCatalog:
         if key:
             df = df.withColumn("_eid", F.col(key).cast("long"))
         elif "_eid" not in df.columns:
-            df = df.withColumn("_eid", F.monotonically_increasing_id())
+            df = settle(df.withColumn("_eid", F.monotonically_increasing_id()), "edges")  # an edge has one number in all uses
         table = EdgeTable(type_, src, dst, df)
         self.edges.setdefault(type_, []).append(table)
         return table, None

@@ -70,7 +70,7 @@ def _size(x):
 
 @scalar("regexp_full_match")
 def _full(x, p):
-    return F.rlike(x, F.concat(F.lit("^(?:"), p, F.lit(")$")))
+    return F.rlike(x, F.concat(F.lit("^(?:"), p, F.lit(")\\z")))
 
 
 @scalar("regexp_matches")
@@ -161,11 +161,11 @@ SCALAR |= {"ilike_escape": lambda x, p, e: F.ilike(x, p, e), "not_ilike_escape":
 @scalar("glob", "~~~")
 def _glob(x, p):
     out = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in constant(p))
-    return F.rlike(x, F.lit(f"(?s)^{out}$"))
+    return F.rlike(x, F.lit(f"(?s)^{out}\\z"))
 
 
 SCALAR |= dict.fromkeys(("tostring", "string"), lambda x: x.cast("string"))
-SCALAR |= dict.fromkeys(("tointeger", "toint"), lambda x: x.try_cast("double").try_cast("bigint"))
+SCALAR |= dict.fromkeys(("tointeger", "toint"), lambda x: F.coalesce(x.try_cast("bigint"), x.try_cast("double").try_cast("bigint")))
 SCALAR["tofloat"] = lambda x: x.try_cast("double")
 
 
@@ -182,7 +182,17 @@ for _name in ("abs", "floor", "degrees", "radians", "cbrt", "exp", "log2", "log1
     SCALAR[_name] = getattr(F, _name)
 SCALAR |= {"sign": F.signum, "ceil": F.ceil, "ceiling": F.ceil, "round": lambda x, n=None: F.round(x, int(constant(n)) if n is not None else 0), "pow": F.pow, "power": F.pow}
 SCALAR |= {"even": lambda x: F.signum(x) * F.ceil(F.abs(x) / 2) * 2, "isinf": lambda x: F.abs(x) == float("inf"), "isfinite": lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")), "mod": lambda x, y: F.try_mod(x, y)}
-SCALAR |= dict.fromkeys(("random", "rand"), lambda: F.rand())
+_SEED: list[int] = []
+
+
+@scalar("setseed")
+def _setseed(x):
+    """From here on random() gives the same numbers again; x from -1 to 1."""
+    _SEED[:] = [int(float(constant(x)) * (1 << 31))]
+    return F.lit(None).cast("string")
+
+
+SCALAR |= dict.fromkeys(("random", "rand"), lambda: F.rand(*_SEED))
 SCALAR |= {"xor": lambda x, y: x.bitwiseXOR(y), "log": F.log10}
 
 
@@ -350,6 +360,20 @@ def _list_sum(x):
     return F.aggregate(F.filter(x, lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v.try_cast("double"))
 
 
+@scalar("list_aggregate", "list_aggr", "array_aggregate")
+def _list_aggregate(x, name):
+    """An aggregate of a list's elements, nulls left out: count, sum, avg, min, max, first, last, or string_agg."""
+    own = F.filter(x, lambda v: v.isNotNull())
+    n = F.size(own)
+    total = F.aggregate(own, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    kinds = {
+        "count": n.cast("long"), "sum": F.when(n > 0, total), "avg": F.when(n > 0, total / n), "min": F.array_min(own), "max": F.array_max(own),
+        "first": F.get(own, F.lit(0)), "last": F.get(own, n - 1), "string_agg": F.when(n > 0, F.array_join(own.cast("array<string>"), ",")),
+    }
+    return kinds[str(constant(name)).lower()]
+
+
+SCALAR["struct_extract"] = lambda x, name: x.getField(str(constant(name)))
 SCALAR |= dict.fromkeys(("list_min",), F.array_min) | dict.fromkeys(("list_max",), F.array_max) | {"list_distinct": F.array_distinct, "list_sort": F.array_sort}
 
 # -- aggregates

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -172,11 +174,16 @@ class Changes:
         return (got or 0) + 1
 
     def numbered(self, df: DataFrame, first: int, name: str) -> DataFrame:
-        """Rows with numbers from first on, without bringing them to one task."""
-        rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first))
-        from pyspark.sql import types as T
-
-        return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+        """Rows with numbers from first on, without bringing them to one task: the driver sees one count a partition."""
+        placed = settle(df.withColumn(" place", F.monotonically_increasing_id()), "numbered")
+        part = F.shiftright(c(" place"), 33)
+        counts = {r["p"]: r["count"] for r in placed.groupBy(part.alias("p")).count().collect()}
+        starts, at = [], first
+        for k in range(max(counts, default=-1) + 1):
+            starts.append(at)
+            at += counts.get(k, 0)
+        start = F.get(F.lit(starts), part.cast("int")) if starts else F.lit(first)
+        return placed.withColumn(name, (start + c(" place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop(" place")
 
     def create(self, scope: Scope, clause: A.Create) -> Scope:
         for p in clause.paths:
@@ -223,17 +230,29 @@ class Changes:
             table.df = table.df.unionByName(new, allowMissingColumns=True)
 
     def merge(self, scope: Scope, clause: A.Merge) -> Scope:
-        label = clause.node.labels[0]
+        """Row by row: vertices with the row's properties where there are any, else one new vertex for all rows of these properties."""
+        n, label = clause.node, clause.node.labels[0]
+        if n.var in scope.vars:
+            raise CypherError(f"{n.var} is bound already")
+        names = {k: self.builder.new("m") for k, _ in n.props}
+        df = settle(scope.df.withColumns({names[k]: self.value(scope, x) for k, x in n.props}), "merge")
         known = self.catalog.vertices.get(label)
-        if known is not None:
-            try:
-                found = self.builder.match(scope, [A.PathPattern((clause.node,), ())])
-            except CypherError:
-                found = None
-            if found is not None and not found.df.isEmpty():
-                return self.setprops(Scope(settle(found.df, "merged"), found.vars), A.SetProps(clause.on_match)) if clause.on_match else found
-        made = self.create_node(scope, clause.node)
-        return self.setprops(made, A.SetProps(clause.on_create)) if clause.on_create else made
+        wanted = df.select(*map(c, names.values())).distinct() if names else df.limit(1).select(F.lit(1).alias(" one"))
+        same = lambda left, right, eq: reduce(lambda p, q: p & q, (eq(left(k), right(k)) for k in names), F.lit(True))
+        if known is not None and set(names) <= set(known.df.columns):
+            have = known.df.select(*(c(k).alias(f" have {k}") for k in names))
+            wanted = wanted.join(have, same(lambda k: c(names[k]), lambda k: c(f" have {k}"), lambda p, q: p == q), "left_anti")
+        pattern = replace(n, props=tuple((k, A.Var(v)) for k, v in names.items()))
+        made = self.create_node(Scope(settle(wanted, "unmatched"), {v: Kind("value") for v in names.values()}), pattern)
+        fresh = made.df.select(c(f"{n.var}@_id").alias(" new"))
+        frame = self.builder.vertex_frame([label], True)
+        frame = frame.select(*(c(x).alias(f"{n.var}@{x}") for x in frame.columns)).join(fresh, c(f"{n.var}@_id") == c(" new"), "left")
+        bound = df.join(frame, same(lambda k: c(names[k]), lambda k: c(f"{n.var}@{k}"), lambda p, q: p.eqNullSafe(q))).drop(*names.values())
+        out = Scope(settle(bound, "merged"), scope.vars | {n.var: Kind("node", {}, (label,))})
+        for items, rows in ((clause.on_match, c(" new").isNull()), (clause.on_create, c(" new").isNotNull())):
+            if items:
+                self.setprops(replace(out, df=out.df.where(rows)), A.SetProps(items))
+        return replace(out, df=out.df.drop(" new"))
 
     def setprops(self, scope: Scope, clause: A.SetProps) -> Scope:
         by: dict[str, dict[str, Any]] = {}

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,7 +131,7 @@ class Builder:
 
     def match_clause(self, scope: Scope, m: A.Match) -> Scope:
         if not m.optional:
-            out = self.match(scope, m.paths)
+            out = self.match(scope, m.paths, m.where)
             return self.filtered(out, m.where) if m.where is not None else out
         return self.optional(scope, m)
 
@@ -156,7 +156,7 @@ class Builder:
     def optional(self, scope: Scope, m: A.Match) -> Scope:
         keys = self.keys_for(scope, *m.paths, *([m.where] if m.where is not None else []))
         seed = Scope(scope.df.select(*map(c, keys)).distinct() if keys else self.catalog.spark.range(1).select(F.lit(1).alias(" one")), {n: k for n, k in scope.vars.items() if any(x == n or x.startswith(n + "@") for x in keys)})
-        inner = self.match(seed, m.paths)
+        inner = self.match(seed, m.paths, m.where)
         if m.where is not None:
             inner = self.filtered(inner, m.where)
         new = {n: k for n, k in inner.vars.items() if n not in scope.vars}
@@ -167,7 +167,7 @@ class Builder:
         df = scope.df.join(right, cond, "left").drop(*names.values())
         return Scope(df, scope.vars | new)
 
-    def match(self, scope: Scope, paths: list) -> Scope:
+    def match(self, scope: Scope, paths: list, where: Any = None) -> Scope:
         hops: list[tuple[str, list[EdgeTable]]] = []
         # paths with a bound variable come first, so that disconnected parts are joined as late as can be
         labels = {n.var: n.labels for p in paths for n in p.nodes if n.labels}
@@ -175,16 +175,33 @@ class Builder:
         while todo:
             bound = set(scope.vars)
             todo.sort(key=lambda p: (bool(p.shortest), not any(n.var in bound for n in p.nodes)))
-            scope = self.path(scope, todo.pop(0), hops)
+            p = todo.pop(0)
+            scope = self.shortest(scope, p, where) if p.shortest else self.path(scope, p, hops)
         for i, (r, one) in enumerate(hops):
             for q, two in hops[:i]:
                 if any(a is b for a in one for b in two):
-                    scope = replace(scope, df=scope.df.where((c(f"{r}@_eid") != c(f"{q}@_eid")) | (c(f"{r}@_type") != c(f"{q}@_type")) | (c(f"{r}@_slabel") != c(f"{q}@_slabel"))))
+                    scope = replace(scope, df=scope.df.where(self.unlike(scope, (r, one), (q, two))))
         return scope
 
+    def unlike(self, scope: Scope, r: tuple[str, list[EdgeTable]], q: tuple[str, list[EdgeTable]]) -> Column:
+        """Relationships of one MATCH have no edge in common."""
+        single = {x: scope.vars[x].what == "rel" for x, _ in (r, q)}
+        if all(single.values()):
+            (r, _), (q, _) = r, q
+            return (c(f"{r}@_eid") != c(f"{q}@_eid")) | (c(f"{r}@_type") != c(f"{q}@_type")) | (c(f"{r}@_slabel") != c(f"{q}@_slabel"))
+
+        def names(var: str, tables: list[EdgeTable]) -> Column:
+            """The edges as text that tells tables apart, as in steps."""
+            if single[var]:
+                return F.array(F.concat_ws(":", c(f"{var}@_type"), c(f"{var}@_slabel"), c(f"{var}@_eid").cast("string")))
+            if len(tables) > 1:
+                return c(f"{var}@rels")
+            t = tables[0]
+            return F.transform(c(f"{var}@rels"), lambda e: F.concat_ws(":", F.lit(t.type), F.lit(t.src), e.cast("string")))
+
+        return ~F.arrays_overlap(names(*r), names(*q))
+
     def path(self, scope: Scope, p: A.PathPattern, hops: list) -> Scope:
-        if p.shortest:
-            return self.shortest(scope, p)
         nodes, rels = list(p.nodes), list(p.rels)
         start = next((k for k, n in enumerate(nodes) if n.var in scope.vars), None)
         if start is None:  # begin where the pattern says most
@@ -239,12 +256,14 @@ class Builder:
         frame = self.vertex_frame(leaves, True)
         frame = frame.select(*(c(x).alias(f"{n.var}@{x}") for x in frame.columns))
         kind = Kind("node", {}, tuple(leaves))
-        own = self.with_props(Scope(frame, {n.var: kind}), n.var, n.props, scope)
+        outer = tuple(x for x in n.props if any(isinstance(y, A.Var) and y.name in scope.vars for y in A.walk(x[1])))
+        own = self.with_props(Scope(frame, {n.var: kind}), n.var, tuple(x for x in n.props if x not in outer))
         if not scope.vars:
             return own
-        return Scope(scope.df.crossJoin(own.df), scope.vars | {n.var: kind})
+        # with conditions on outer variables this becomes an equi-join
+        return self.with_props(Scope(scope.df.crossJoin(own.df), scope.vars | {n.var: kind}), n.var, outer)
 
-    def with_props(self, scope: Scope, var: str, props: tuple, outer: Scope | None = None) -> Scope:
+    def with_props(self, scope: Scope, var: str, props: tuple) -> Scope:
         for key, expr in props:
             if f"{var}@{key}" not in scope.df.columns:
                 raise CypherError(f"no property {key}")
@@ -254,6 +273,7 @@ class Builder:
 
     def hop(self, scope: Scope, a: A.NodePattern, r: A.RelPattern, b: A.NodePattern, direction: str, hops: list) -> Scope:
         if r.least is not None:
+            hops.append((r.var, list({id(t): t for t in self.catalog.tables(r.types)}.values())))
             return self.varlen(scope, a, r, b, direction)
         bound = b.var in scope.vars
         start, ends = set(scope.vars[a.var].labels), set(scope.vars[b.var].labels if bound else self.catalog.leaves(b.labels))
@@ -370,12 +390,17 @@ class Builder:
         out = Scope(df, vars_)
         return self.node(out, b) if bound else self.with_props(out, b.var, b.props)
 
-    def shortest(self, scope: Scope, p: A.PathPattern) -> Scope:
+    def shortest(self, scope: Scope, p: A.PathPattern, where: Any = None) -> Scope:
+        """where: its parts that look at the ends alone hold before paths are sought."""
         from ..operators.paths import shortest_paths
 
         a, b, r = p.nodes[0], p.nodes[-1], p.rels[0]
         scope = self.node(scope, a)
         scope = self.node(scope, b)
+        for x in self.conjuncts(where) if where is not None else ():
+            parts = list(A.walk(x))
+            if not any(isinstance(y, (A.Exists, A.PatternList)) for y in parts) and {y.name for y in parts if isinstance(y, A.Var)} <= set(scope.vars):
+                scope = self.filtered(scope, x)
         edges, tables = self.steps(r, r.direction)
         pairs = scope.df.select(*(c(x).alias(y) for x, y in ((f"{a.var}@_id", " s"), (f"{a.var}@_label", " sl"), (f"{b.var}@_id", " e"), (f"{b.var}@_label", " el")))).distinct()
         least, most = (1, 1) if r.least is None else (r.least, r.most)
@@ -407,7 +432,7 @@ class Builder:
         parts = [*paths, *([where] if where is not None else [])]
         keys = self.keys_for(scope, *parts)
         seed = Scope(scope.df.select(*map(c, keys)).distinct() if keys else self.catalog.spark.range(1).select(F.lit(1).alias(" one")), {n: k for n, k in scope.vars.items() if any(x == n or x.startswith(n + "@") for x in keys)})
-        out = self.match(seed, list(paths))
+        out = self.match(seed, list(paths), where)
         return (self.filtered(out, where) if where is not None else out), keys
 
     def semi(self, scope: Scope, x: A.Exists, how: str) -> Scope:
@@ -534,8 +559,13 @@ class Builder:
             if is_aggregate(i.expr):
                 by_name = {repr(j.expr): j.alias for j in items if not is_aggregate(j.expr)}
                 scope, _ = self.value(scope, i.expr, agg)
-                after.append((i.alias, renamed(i.expr, by_name)))
+                after.append((i.alias, renamed(i.expr, by_name, within_aggregates=False)))
                 vars_[i.alias] = Kind("value")
+        # of equal arguments in a group only the first counts: the others become null, which these aggregates skip
+        for n, (args, spare) in list(agg.pop(" once", {}).items()):
+            first = F.row_number().over(Window.partitionBy(*(F.col(k) if isinstance(k, str) else k for k in keys), *args).orderBy(F.lit(1))) == 1
+            scope = replace(scope, df=scope.df.withColumns({f"{n}{k}": F.when(first & reduce(lambda a, b: a & b, (y.isNotNull() for y in args)), x) for k, x in enumerate(args)}))
+            agg[n] = AGGREGATE[spare[0]](*(c(f"{n}{k}") for k in range(len(args))), *spare[1])
         aggs = [x.alias(n) for n, x in agg.items()]
         named = scope.df.groupBy(*keys) if keys else scope.df.groupBy()
         df = named.agg(*carried, *aggs) if carried or aggs else named.agg(F.count(F.lit(1)).alias(" n"))
@@ -550,14 +580,16 @@ def is_aggregate(x: Any) -> bool:
     return any(isinstance(y, A.Call) and y.name in AGGREGATE and y.name not in SCALAR for y in A.walk(x) if not isinstance(y, (A.Exists,)))
 
 
-def renamed(x: Any, names: dict[str, str]) -> Any:
-    """x with the parts that stand in names (by their text) as variables."""
+def renamed(x: Any, names: dict[str, str], within_aggregates: bool = True) -> Any:
+    """x with the parts that stand in names (by their text) as variables; an aggregate's arguments are of the rows before grouping."""
     if repr(x) in names:
         return A.Var(names[repr(x)])
     if isinstance(x, tuple):
-        return tuple(renamed(y, names) for y in x)
+        return tuple(renamed(y, names, within_aggregates) for y in x)
+    if not within_aggregates and isinstance(x, A.Call) and x.name in AGGREGATE and x.name not in SCALAR:
+        return x
     if hasattr(x, "__dataclass_fields__") and not isinstance(x, (A.PathPattern, A.NodePattern, A.RelPattern)):
-        return replace(x, **{k: renamed(getattr(x, k), names) for k in x.__dataclass_fields__ if isinstance(getattr(x, k), tuple) or hasattr(getattr(x, k), "__dataclass_fields__")})
+        return replace(x, **{k: renamed(getattr(x, k), names, within_aggregates) for k in x.__dataclass_fields__ if isinstance(getattr(x, k), tuple) or hasattr(getattr(x, k), "__dataclass_fields__")})
     return x
 
 
@@ -817,10 +849,14 @@ class Expressions:
         self.agg = held
         if x.star or not args:
             out = F.count(F.lit(1))
-        elif x.distinct:
-            out = {"count": F.count_distinct, "sum": F.sum_distinct, "collect": F.collect_set}.get(x.name, lambda *a: AGGREGATE[x.name](*a))(*args)
-            if x.name == "avg":
-                out = F.try_divide(F.sum_distinct(args[0].cast("double")), F.count_distinct(args[0]))
+        elif x.distinct and x.name in ("list", "array_agg"):
+            out = F.array_distinct(AGGREGATE[x.name](*args))
+        elif x.distinct and x.name in ("count", "sum", "collect"):
+            out = {"count": F.count_distinct, "sum": F.sum_distinct, "collect": F.collect_set}[x.name](*args)
+        elif x.distinct and x.name not in ("min", "max"):
+            fixed = [k for k, y in enumerate(x.args) if k and isinstance(y, A.Lit)]  # a separator, a share
+            self.agg.setdefault(" once", {})[name] = ([y for k, y in enumerate(args) if k not in fixed], (x.name, [args[k] for k in fixed]))
+            return F.lit(None)
         else:
             out = AGGREGATE[x.name](*args)
         self.agg[name] = out

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators.store import settle
 
 # Header types and Spark's.
 TYPES = {
@@ -86,8 +87,8 @@ def read_edges(spark: SparkSession, path: str) -> tuple[DataFrame, str | None, s
 
 def drop_dangling(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """edges of which both ends are there."""
-    out = edges.join(src.select(F.col("_id").alias("_sid")).distinct(), "_sid", "left_semi")
-    return out.join(dst.select(F.col("_id").alias("_tid")).distinct(), "_tid", "left_semi")
+    out = edges.join(src.select(F.col("_id").alias("_sid")), "_sid", "left_semi")
+    return out.join(dst.select(F.col("_id").alias("_tid")), "_tid", "left_semi")
 
 
 def import_vertices(graph: Graph, label: str, paths: str | list[str], form: str = "csv") -> None:
@@ -108,7 +109,8 @@ def import_edges(graph: Graph, type_: str, path: str, form: str = "csv", src: st
     src, dst = src or start, dst or end
     if src not in graph.catalog.vertices or dst not in graph.catalog.vertices:
         raise KeyError(f"vertices of {src} and {dst} come first")
-    kept = drop_dangling(df, graph.catalog.vertices[src].df, graph.catalog.vertices[dst].df)
+    # settled, so that an edge has one number in all uses
+    kept = settle(drop_dangling(df, graph.catalog.vertices[src].df, graph.catalog.vertices[dst].df), "imported")
     dropped = df.count() - kept.count()
     old = next((t for t in graph.catalog.edges.get(type_, []) if (t.src, t.dst) == (src, dst)), None)
     if old is None:
@@ -119,15 +121,14 @@ def import_edges(graph: Graph, type_: str, path: str, form: str = "csv", src: st
     return dropped
 
 
-def _lenient(text: Column) -> Column:
-    """Trailing commas go; Inf and NaN become words that Spark reads."""
-    text = F.regexp_replace(text, r",(\s*[}\]])", "$1")
-    return F.regexp_replace(text, r"([:,\[]\s*)(-?)(?:Inf|Infinity)\b", "$1$2Infinity")
+def _lenient(text: str) -> str:
+    """Trailing commas go and Inf becomes the word that Spark reads; strings stay as they are."""
+    return re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])|\bInf(?:inity)?\b', lambda m: m[1] or ("" if m[0] == "," else "Infinity"), text, flags=re.S)
 
 
 def _json_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(_lenient(F.col("value")).alias("value"))
-    parsed = spark.read.option("allowNonNumericNumbers", True).json(whole.rdd.map(lambda r: r[0]))
+    whole = spark.read.text(path, wholetext=True)
+    parsed = spark.read.option("allowNonNumericNumbers", True).json(whole.rdd.map(lambda r: _lenient(r[0])))
     return parsed.select(F.inline(key))
 
 

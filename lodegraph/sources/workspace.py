@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from ..graph import Graph
 
 
 def save(graph: Graph, path: str) -> None:
-    """Writes every table below path; the catalog comes last, so that a workspace with a catalog is whole."""
+    """Writes every table into a new folder below path; the catalog comes last, so that a workspace is whole at any time.
+
+    The graph may itself have come from path: the tables that it reads stay as they are."""
+    turn = f"tables-{uuid.uuid4().hex[:12]}"
     meta: dict = {"vertices": [], "edges": []}
     for k, v in enumerate(graph.catalog.vertices.values()):
-        v.df.write.mode("overwrite").parquet(f"{path}/vertices/{k}")
-        meta["vertices"].append({"name": v.name, "parents": list(v.parents), "table": f"vertices/{k}"})
+        v.df.write.parquet(f"{path}/{turn}/vertices/{k}")
+        meta["vertices"].append({"name": v.name, "parents": list(v.parents), "table": f"{turn}/vertices/{k}"})
     k = 0
     for own in graph.catalog.edges.values():
         for t in own:
             entry = {"type": t.type, "src": t.src, "dst": t.dst, "key": t.key}
             if t.df is not None:
-                t.df.write.mode("overwrite").parquet(f"{path}/edges/{k}")
-                entry["table"] = f"edges/{k}"
+                t.df.write.parquet(f"{path}/{turn}/edges/{k}")
+                entry["table"] = f"{turn}/edges/{k}"
                 k += 1
             meta["edges"].append(entry)
     graph.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/catalog")

@@ -181,3 +181,70 @@ def test_path_weight(spark):
 def test_bad_queries(text):
     with pytest.raises(CypherError):
         parse(text)
+
+
+def test_aggregates_of_returned_values_and_distinct(g):
+    assert rows(g, "MATCH (p:Person) WHERE p.id < 3 RETURN p.id AS i, sum(p.id) AS s, count(*) AS n") == [(1, 1, 1), (2, 2, 1)]
+    got = rows(g, "UNWIND [1, 1, 2, null] AS x RETURN product(DISTINCT x) AS p, string_agg(DISTINCT x, ';') AS t, stddev_pop(DISTINCT x) AS d, avg(DISTINCT x) AS a, size(list(DISTINCT x)) AS n, max(DISTINCT x) AS m")
+    assert len(got) == 1 and (got[0][0], got[0][2:]) == (2.0, (0.5, 1.5, 3, 2)) and sorted(got[0][1].split(";")) == ["1", "2"]
+    assert rows(g, "UNWIND [[1, 5], [1, 5], [2, 6]] AS x RETURN x[0] % 2 AS k, product(DISTINCT x[1]) AS p") == [(0, 6.0), (1, 5.0)]
+
+
+def test_inline_properties_of_outer_variables(g):
+    assert rows(g, "UNWIND [1, 2] AS k MATCH (p:Person {id: k}) RETURN k, p.name AS n") == [(1, "Alice"), (2, "Bob")]
+    assert rows(g, "MATCH (a:Person {id: 3}) MATCH (b:Person {id: a.id + 1}) RETURN b.name AS n") == [("Dan",)]
+    assert rows(g, "UNWIND [1, 9] AS k OPTIONAL MATCH (p:Person {id: k}) RETURN k, p.name AS n") == [(1, "Alice"), (9, None)]
+
+
+def test_relationships_are_distinct_from_those_of_paths(g, spark):
+    h = Graph(spark)
+    h.catalog.add_vertices("P", spark.createDataFrame([(1,), (2,), (3,)], "id long"), "id")
+    h.catalog.add_edges("K", "P", "P", spark.createDataFrame([(1, 1, 2), (2, 2, 3)], "_eid long, _sid long, _tid long"))
+    h.catalog.add_edges("L", "P", "P", spark.createDataFrame([(1, 1, 3)], "_eid long, _sid long, _tid long"))
+    assert len(rows(h, "MATCH (a)-[r:K]->(b), (c)-[q:K*1..1]->(d) RETURN a.id AS a, c.id AS c")) == 2
+    assert len(rows(h, "MATCH (a)-[:K*1..2]->(b), (c)-[:K*1..2]->(d) RETURN a.id AS a, b.id AS b, c.id AS c, d.id AS d")) == 2
+    assert len(rows(h, "MATCH (a)-[:K|L*1..1]->(b), (c)-[:K]->(d) RETURN a.id AS a, b.id AS b, c.id AS c")) == 4
+    assert len(rows(h, "MATCH (a)-[:L]->(b), (c)-[:K*1..1]->(d) RETURN a.id AS a, c.id AS c")) == 2
+
+
+def test_merge_by_row(g):
+    g.execute("UNWIND [1, 50, 60, 50] AS k MERGE (p:Person {id: k}) ON CREATE SET p.name = 'new' ON MATCH SET p.name = 'old'")
+    assert rows(g, "MATCH (p:Person) WHERE p.id IN [1, 50, 60] RETURN p.id AS i, p.name AS n") == [(1, "old"), (50, "new"), (60, "new")]
+    g.execute("MERGE (p:Person {id: 60})")
+    g.execute("MERGE (c:City {name: 'Rome'})")
+    assert rows(g, "MATCH (p:Person) RETURN count(*) AS n") == [(7,)] and rows(g, "MATCH (c:City) RETURN c.name AS n") == [("Rome",)]
+
+
+def test_casts_and_matches_at_a_line_end(g):
+    assert rows(g, "RETURN toInteger('9007199254740993') AS a, toInteger('2.9') AS b, 'ab\\n' =~ 'ab' AS c, 'ab' =~ 'a.' AS d") == [(9007199254740993, 2, False, True)]
+    assert rows(g, "RETURN list_aggregate([3, 1, null], 'sum') AS s, list_aggregate([3, 1], 'min') AS m, struct_extract({a: 7}, 'a') AS x") == [(4.0, 1, 7)]
+
+
+def test_a_seed_repeats_random(g):
+    once = [g.sql("RETURN setseed(0.25) AS s").df.collect(), rows(g, "UNWIND [1, 2] AS i RETURN random() AS r")]
+    g.sql("RETURN setseed(0.25) AS s").df.collect()
+    from lodegraph.functions import registry
+
+    assert rows(g, "UNWIND [1, 2] AS i RETURN random() AS r") == once[1]
+    registry._SEED.clear()
+
+
+def test_a_workspace_is_saved_over_itself(g, spark, tmp_path):
+    path = f"{tmp_path}/own"
+    workspace.save(g, path)
+    h = workspace.load(spark, path)
+    h.execute("MATCH (p:Person) WHERE p.id = 1 SET p.name = 'Ann'")
+    h.checkpoint(path)
+    assert rows(workspace.load(spark, path), "MATCH (p:Person) WHERE p.id = 1 RETURN p.name AS n") == [("Ann",)]
+
+
+def test_json_strings_stay(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"vertices": [{"id": 1, "name": "a, Inf ,} x\\"", "w": -Inf,}, {"id": 2, "name": "Inf", "w": 2.5},]}')
+    h = Graph(spark)
+    files.import_vertices(h, "V", f"{tmp_path}/v.json", "json")
+    assert rows(h, "MATCH (v:V) RETURN v.name AS n, v.w AS w") == sorted([('a, Inf ,} x"', float("-inf")), ("Inf", 2.5)], key=repr)
+
+
+def test_conditions_on_the_ends_come_before_shortest_paths(g):
+    q = "MATCH p = shortestPath((a:Person)-[:KNOWS*]->(b:Person)) WHERE a.id = 1 AND b.id = 4 AND length(p) > 1 RETURN length(p) AS n"
+    assert rows(g, q) == [(3,)]
