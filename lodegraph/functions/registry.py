@@ -292,7 +292,7 @@ def _date_sub(part, a, b):
     return (F.signum(d) * F.floor(F.abs(d) / MICROS[part])).cast("long")
 
 
-SCALAR |= {"make_date": lambda y, m, d: F.make_date(y.cast("int"), m.cast("int"), d.cast("int")), "make_time": lambda h, m, s: ((h * 3600 + m * 60) * 1_000_000 + s * 1_000_000).cast("long")}
+SCALAR |= {"make_date": lambda y, m, d: F.make_date(y.cast("int"), m.cast("int"), d.cast("int")), "make_time": lambda h, m, s: ((h.cast("long") * 3600 + m * 60) * 1_000_000 + s * 1_000_000).cast("long")}
 SCALAR |= {"make_timestamp": lambda y, mo, d, h, mi, s: F.make_timestamp(y.cast("int"), mo.cast("int"), d.cast("int"), h.cast("int"), mi.cast("int"), s), "epoch_ms": lambda x: F.timestamp_millis(x.cast("long")), "to_timestamp": lambda x: F.timestamp_seconds(x)}
 SCALAR |= {"timestamp": lambda: F.unix_millis(F.current_timestamp()), "current_date": F.current_date, "now": F.current_timestamp, "current_time": lambda: F.date_format(F.current_timestamp(), "HH:mm:ss")}
 SCALAR |= {f"to_{n}": (lambda k: lambda x: F.make_interval(**{k: x.cast("int") if k != "secs" else x}))(k) for n, k in (("years", "years"), ("months", "months"), ("days", "days"), ("hours", "hours"), ("minutes", "mins"), ("seconds", "secs"))}
@@ -314,9 +314,12 @@ SCALAR["strptime"] = lambda x, form: F.to_timestamp(x, pattern(constant(form)))
 def _age(a, b=None):
     """struct(months, days, micros) between."""
     a, b = (a, b) if b is not None else (F.current_date().cast("timestamp"), a)
-    months = F.floor(F.months_between(a, b, roundOff=False)).cast("int")
-    rest = F.unix_micros(a.cast("timestamp")) - F.unix_micros(F.add_months(b, months).cast("timestamp")) - F.pmod(F.unix_micros(b.cast("timestamp")), F.lit(MICROS["day"]))
-    return F.struct(months.alias("months"), F.floor(rest / MICROS["day"]).cast("int").alias("days"), F.pmod(rest, F.lit(MICROS["day"])).alias("micros"))
+    a, b, sign = F.greatest(a, b).cast("timestamp"), F.least(a, b).cast("timestamp"), F.when(a < b, -1).otherwise(1)
+    clock = lambda x: F.pmod(F.unix_micros(x), F.lit(MICROS["day"]))
+    short = F.dayofmonth(a) * F.lit(MICROS["day"]) + clock(a) < F.dayofmonth(b) * F.lit(MICROS["day"]) + clock(b)
+    months = (F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b) - short.cast("int")
+    rest = F.unix_micros(a) - F.unix_micros(F.add_months(b, months).cast("timestamp")) - clock(b)
+    return F.struct((sign * months).alias("months"), (sign * F.floor(rest / MICROS["day"])).cast("int").alias("days"), (sign * F.pmod(rest, F.lit(MICROS["day"]))).alias("micros"))
 
 
 SCALAR["date"] = lambda x=None: F.current_date() if x is None else F.to_date(x)

@@ -19,9 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path there."""
+    return f"{shared_dir(spark)}/lodegraph/{name.strip()}-{uuid.uuid4().hex[:12]}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df there and rereads it: iterations keep a short lineage and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lodegraph/{name.strip()}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     names = [f"c{k}" for k in range(len(df.columns))]
     df.toDF(*names).write.parquet(path)
     return df.sparkSession.read.schema(df.toDF(*names).schema).parquet(path).toDF(*df.columns)

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import coverage
 from .tables import star_graph, trade_graph, with_partsupp
 
 
@@ -237,11 +238,11 @@ def fluent_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _query(q) for k, q in TEXTS.items()} | {"fluent_degree": fluent_degree, "fluent_pipeline": fluent_pipeline}
+    return {k: _query(q) for k, q in TEXTS.items()} | {"fluent_degree": fluent_degree, "fluent_pipeline": fluent_pipeline} | coverage.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     return {k: q.sql for k, q in TEXTS.items() if q.sql} | {
         "fluent_degree": f"WITH {TRADES} SELECT t AS id, count(*) AS degree FROM trades GROUP BY 1",
         "fluent_pipeline": "SELECT n_name AS n, count(*) AS n_customers, round(max(c_acctbal), 2) AS most FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 100 GROUP BY 1",
-    }
+    } | coverage.oracle_sql(TRADES)
