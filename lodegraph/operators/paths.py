@@ -56,13 +56,13 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, least: int, most: int | N
     wanted = settle(pairs, "pairs")
     level = _begin(wanted.select(" s", " sl").distinct(), edges)
     keys = [" s", " sl", " e", " el"]
-    seen = level.select(*keys) if least == 0 else level.select(*keys).where("false")  # a way back to the start is a path
+    seen = [level.select(*keys)] if least == 0 else []  # a way back to the start is a path
     found = [level.join(wanted, keys, "left_semi")] if least == 0 else []
     k = 0
     while k < (most if most is not None else max_hops):
         level, k = _walk(level, edges), k + 1
         if not (k < least):
-            level = level.join(seen, keys, "left_anti") if least < 2 else level
+            level = level.join(reduce(DataFrame.unionAll, seen), keys, "left_anti") if least < 2 and seen else level
         if not every:
             first = Window.partitionBy(*map(c, keys)).orderBy(c(" rels"))
             level = level.withColumn(" n", F.row_number().over(first)).where("` n` = 1").drop(" n")
@@ -71,11 +71,12 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, least: int, most: int | N
             break
         hits = level.join(wanted, keys, "left_semi")
         found.append(hits)
-        seen = settle(seen.unionByName(level.select(*keys).distinct()), "seen")
+        seen.append(level.select(*keys))  # settled already
         wanted = wanted.join(hits.select(*keys).distinct(), keys, "left_anti")
         if wanted.isEmpty():
             break
         wanted = settle(wanted, "pairs")
+        level = level.join(wanted.select(" s", " sl").distinct(), [" s", " sl"], "left_semi")  # sources with nothing left to find stop
     else:
         if most is None and not wanted.isEmpty() and not level.isEmpty():
             raise RuntimeError(f"shortest paths are longer than {max_hops} edges")

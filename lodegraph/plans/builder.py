@@ -38,6 +38,7 @@ class Kind:
 class Scope:
     df: DataFrame
     vars: dict[str, Kind]
+    order: tuple[tuple[str, bool], ...] = ()  # columns that a WITH has sorted the rows by, and whether they ascend
 
     def columns_of(self, name: str) -> list[str]:
         if self.vars[name].what == "value":
@@ -482,21 +483,27 @@ class Builder:
             out = replace(out, df=self.distinct(out))
         if p.order:
             names = {repr(i.expr): i.alias for i in items}
-            keys = []
+            keys, values = [], []
             for expr, ascending in p.order:
                 expr = renamed(expr, names)
                 self_scope, x = self.value(out, expr)
                 out = self_scope
+                values.append(x)
                 keys.append(x.asc_nulls_last() if ascending else x.desc_nulls_first())
-            out = replace(out, df=out.df.orderBy(*keys))
+            if p.final:
+                out = replace(out, df=out.df.orderBy(*keys))
+            else:  # the sort keys go on with the rows: collect() puts its list in this order
+                held = [(self.new("o"), ascending) for _, ascending in p.order]
+                df = out.df.withColumns({n: x for (n, _), x in zip(held, values, strict=True)})
+                out = replace(out, df=df.orderBy(*(c(n).asc_nulls_last() if up else c(n).desc_nulls_first() for n, up in held)), order=tuple(held))
         if p.skip is not None:
             out = replace(out, df=out.df.offset(self.number(p.skip)))
         if p.limit is not None:
             out = replace(out, df=out.df.limit(self.number(p.limit)))
-        keep = [x for n in out.vars for x in out.columns_of(n)]
+        keep = [x for n in out.vars for x in out.columns_of(n)] + [n for n, _ in out.order]
         if [x for x in out.df.columns if x not in keep]:
             out = replace(out, df=out.df.select(*map(c, keep)))
-        out = Scope(out.df, {n: out.vars[n] for n in [i.alias for i in items]})
+        out = Scope(out.df, {n: out.vars[n] for n in [i.alias for i in items]}, out.order)
         return self.filtered(out, p.where) if p.where is not None else out
 
     def number(self, x: Any) -> int:
@@ -857,11 +864,29 @@ class Expressions:
             fixed = [k for k, y in enumerate(x.args) if k and isinstance(y, A.Lit)]  # a separator, a share
             self.agg.setdefault(" once", {})[name] = ([y for k, y in enumerate(args) if k not in fixed], (x.name, [args[k] for k in fixed]))
             return F.lit(None)
+        elif x.name in ("collect", "list", "array_agg") and self.scope.order:
+            out = self.in_order(args[0], x.name == "collect")
         else:
             out = AGGREGATE[x.name](*args)
         self.agg[name] = out
         return F.lit(None)
 
+    def in_order(self, x: Column, skip_nulls: bool) -> Column:
+        """A list in the order of the scope's sort keys, wherever its rows come from."""
+        order = self.scope.order
+        row = F.struct(*(c(n).alias(f"k{k}") for k, (n, _) in enumerate(order)), x.alias("x"))
+
+        def compare(a: Column, b: Column) -> Column:
+            out = None
+            for k, (_, up) in enumerate(order):
+                p, q = a[f"k{k}"], b[f"k{k}"]
+                less, more = (F.lit(-1), F.lit(1)) if up else (F.lit(1), F.lit(-1))  # nulls are greatest
+                for cond, value in ((p.isNull() & q.isNotNull(), more), (p.isNotNull() & q.isNull(), less), (p < q, less), (p > q, more)):
+                    out = F.when(cond, value) if out is None else out.when(cond, value)
+            return out.otherwise(F.lit(0))
+
+        return F.transform(F.array_sort(F.collect_list(F.when(x.isNotNull(), row) if skip_nulls else row), compare), lambda s: s["x"])
+
     def counted(self, x: Any) -> Column:
         entity = self.identity(x)
         if entity:

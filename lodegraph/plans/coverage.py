@@ -223,9 +223,9 @@ TEXTS: dict[str, tuple[str, dict, str, str]] = {
         "star",
     ),
     "ends_of_shortest_paths": (
-        "MATCH p = shortestPath((a:NATION)-[:TRADES*]->(b:NATION)) WHERE a.n_nationkey = 1 AND b.n_regionkey = 2 AND a.n_nationkey <> b.n_nationkey RETURN b.n_nationkey AS b, length(p) AS n",
+        "MATCH p = shortestPath((a:NATION)-[:TRADES*]->(b:NATION)) WHERE a.n_nationkey = 0 AND b.n_regionkey IN [1, 2, 3] AND a.n_nationkey <> b.n_nationkey RETURN b.n_nationkey AS b, length(p) AS n",
         {},
-        "WITH RECURSIVE {trades}, reach AS (SELECT 1 AS x, 0 AS n UNION SELECT t, n + 1 FROM reach JOIN trades ON s = x WHERE n < 25) SELECT x AS b, min(n)::BIGINT AS n FROM reach JOIN nation ON n_nationkey = x WHERE n_regionkey = 2 AND x <> 1 AND n > 0 GROUP BY 1",
+        "WITH RECURSIVE {trades}, reach AS (SELECT 0 AS x, 0 AS n UNION SELECT t, n + 1 FROM reach JOIN trades ON s = x WHERE n < 25) SELECT x AS b, min(n)::BIGINT AS n FROM reach JOIN nation ON n_nationkey = x WHERE n_regionkey IN (1, 2, 3) AND x <> 0 AND n > 0 GROUP BY 1",
         "trade",
     ),
     "tpch_q2": (

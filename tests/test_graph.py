@@ -248,3 +248,8 @@ def test_json_strings_stay(spark, tmp_path):
 def test_conditions_on_the_ends_come_before_shortest_paths(g):
     q = "MATCH p = shortestPath((a:Person)-[:KNOWS*]->(b:Person)) WHERE a.id = 1 AND b.id = 4 AND length(p) > 1 RETURN length(p) AS n"
     assert rows(g, q) == [(3,)]
+
+
+def test_collect_keeps_the_order_of_with(g):
+    q = "UNWIND [[1, 3], [1, 1], [2, 9], [1, null], [1, 2]] AS x WITH x ORDER BY x[1] DESC RETURN x[0] AS k, collect(x[1]) AS c, head(collect(x[1])) AS h, list(x[1]) AS l"
+    assert rows(g, q) == [(1, [3, 2, 1], 3, [None, 3, 2, 1]), (2, [9], 9, [9])]
