@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodegraph-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,6 +43,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with plain names for all columns but text, so that none can clash with an operator's, and the way back.
+
+    The way back gives the columns of docs with the text as it is then; where the text changed, measured
+    says that n_chars is its new length."""
+    names = {f"c{k}": x for k, x in enumerate(docs.columns)}
+    quoted = lambda x: F.col("`" + x.replace("`", "``") + "`")
+    own = docs.select(*(quoted(x).alias("text" if x == "text" else k) for k, x in names.items()))
+
+    def back(df: DataFrame, measured: bool = False) -> DataFrame:
+        def column(k: str, x: str) -> Column:
+            if x == "n_chars" and measured:
+                return F.length("text").cast(docs.schema[x].dataType)
+            return F.col("text" if x == "text" else k)
+
+        return df.select(*(column(k, x).alias(x) for k, x in names.items()))
+
+    return own, back
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")

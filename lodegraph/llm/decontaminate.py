@@ -9,8 +9,8 @@ Items come to the driver in blocks of at most block_words words; each block's au
 so that what is broadcast has a bound whatever the benchmark's size.  Documents are never shuffled.
 
 Null or empty texts have no words.  Items without words or with a null id count for nothing.  Repeated
-documents give repeated rows; an empty benchmark hits nothing.  Columns of the input with the names of
-results give way to the results.
+documents give repeated rows; an empty benchmark hits nothing.  In find_hits, columns of the input with the
+names of results give way to the results.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, map_rows, materialize, table, text_bytes
+from .common import ALNUM, map_rows, materialize, renamed, table, text_bytes
 
 WINDOW = 8
 BLOCK_WORDS = 400_000
@@ -233,15 +233,14 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_span: int = 8, max_coverage: float = 0.5) -> DataFrame:
-    """docs (with text, n_chars) without hit runs of max_span words or more; without documents of which
-    hit runs cover more than max_coverage of the words, and without those of which removal leaves no word.
-    All others stay as they are."""
-    found = find_hits(docs, items, window, keep=[c for c in docs.columns if c != "text"], max_span=max_span)
+    """docs (with text, n_chars) without hit runs of max_span words or more, and without whole items of fewer words than a window; without
+    documents of which hit runs cover more than max_coverage of the words, and without those of which removal leaves no word.
+    All others stay as they are, and so do all columns, whatever they are called."""
+    own, back = renamed(docs)
+    # a run shorter than a window is a whole item
+    found = find_hits(own, items, window, keep=[c for c in own.columns if c != "text"], max_span=max_span if max_span > window else 1)
     left = found.where((F.size("hit_ends") == 0) | ((n_hit() <= max_coverage * F.col("n_words")) & (n_hit() < F.col("n_words"))))
-    left = left.withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return back(left.withColumn("text", F.col("clean_text")), measured=True)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

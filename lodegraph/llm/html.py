@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-RAW = "script|style|noscript|template|iframe|svg|math|textarea|title|object|canvas|select|button"
+RAW = "script|style|noscript|template|iframe|textarea|title"  # what they hold is no markup
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?![\w:-])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?][^>]*+>",
     re.S | re.I,
 )
@@ -33,7 +33,7 @@ ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"
 # Fixed values of HTML: elements without content, elements that do not break a line, elements that p ends before.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-OUT = frozenset("nav footer aside form head dialog menu fieldset audio video applet frameset".split())
+OUT = frozenset("nav footer aside form head dialog menu fieldset audio video applet frameset svg math object canvas select button".split())
 #: Words of class, id or role that name what is not the article.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "

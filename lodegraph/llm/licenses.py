@@ -150,8 +150,10 @@ def scan_words(data: bytes, templates: list[Template]) -> tuple[int, list[int],
     labels: set[str] = set()
     for phrase, label in PHRASES:
         at = plain.find(b" " + phrase + b" ")
+        word = last = 0  # words before last
         while at >= 0:
-            starts.append(plain.count(b" ", 0, at))
+            word, last = word + plain.count(b" ", last, at), at
+            starts.append(word)
             labels.add(label)
             at = plain.find(b" " + phrase + b" ", at + 1)
     found: list[tuple[str, int, int]] = []

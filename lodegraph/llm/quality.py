@@ -6,8 +6,8 @@ and the rules then run in the order of rejections per cost, a document leaving a
 The order changes the work, never the verdict.
 
 Null or empty text: no words, all figures 0, rejected by the base rule.  Repeated rows give repeated
-results; an empty table gives an empty result.  Other columns pass through, save that a column of the
-input with the name of a figure gives way to the figure.
+results; an empty table gives an empty result.  Other columns pass through apply_rules, save that a column of the
+input with the name of a figure gives way to the figure; keep_good gives all columns back as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import renamed, table
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Up to so many words a 3-word window is one long: 44 bits of hash, 20 of position.
@@ -129,6 +129,12 @@ def apply_rules(docs: DataFrame, text: str = "text", sample_rows: int = 2000) ->
     return out.observe(f"quality_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs that no rule rejects, with the columns of docs, whatever these are called."""
+    own, back = renamed(docs)
+    return back(apply_rules(own).where("kept").select(*own.columns))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs).select(

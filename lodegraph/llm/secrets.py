@@ -6,7 +6,7 @@ rules have a match in it.  Only for those rules, the rule's own anchored automat
 leftmost, longest, without overlap within a rule, and after that the rule's least length decides.
 
 Null and empty texts have no spans.  Offsets are code points, the end exclusive.  Rows repeat as the
-input's do.  Columns of the input with the names of results give way to them.
+input's do.  In scan, columns of the input with the names of results give way to them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from .automata import Dfa, parse
-from .common import map_rows, table, text_bytes
+from .common import map_rows, renamed, table, text_bytes
 
 
 class Rule(NamedTuple):
@@ -127,14 +127,12 @@ def without(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret in the text (and n_chars) replaced by [SECRET]; no row goes."""
+    """docs with each secret in the text (and n_chars) replaced by [SECRET]; no row goes, and all columns stay, whatever they are called."""
     from pyspark.sql import functions as F
 
-    df = scan(docs, [c for c in docs.columns if c != "text"], rules, redact=True)
-    df = df.withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+    own, back = renamed(docs)
+    df = scan(own, [c for c in own.columns if c != "text"], rules, redact=True)
+    return back(df.withColumn("text", F.col("clean_text")), measured=True)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

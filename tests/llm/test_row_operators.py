@@ -76,11 +76,11 @@ def test_decontaminate(spark, block_words):
     rnd = random.Random(3)
     vocab = ["ab", "cd", "ef"]
     items = [(k, " ".join(rnd.choice(vocab) for _ in range(n))) for k, n in enumerate([0, 1, 2, 3, 7, 8, 9, 12, 20, 8, 3])]
-    items = [(k, t) for k, t in items if len(t.split()) != 1] + [(50, None), (51, "The quick, brown fox"), (52, "THE quick brown fox")]
+    items += [(50, None), (51, "The quick, brown fox"), (52, "THE quick brown fox")]
     texts = [" ".join(rnd.choice([*vocab, "zz"]) for _ in range(rnd.randint(0, 60))) for _ in range(80)] + odd_texts() + ["see the-QUICK brown  fox!"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = {r["doc_id"]: r for r in decontaminate.find_hits(documents(spark, texts), bench, block_words=block_words, keep=["doc_id"]).withColumn("n_hit", decontaminate.n_hit()).collect()}
-    own = [(k, PLAIN.findall(low(t))) for k, t in items]
+    own = [(k, PLAIN.findall(low(t))) for k, t in items if t]
     for k, t in enumerate(texts):
         words = PLAIN.findall(low(t))
         assert (rows[k]["n_hit"], rows[k]["hit_items"]) == brute_hits(words, own), (t or "")[:80]
@@ -95,6 +95,9 @@ def test_decontaminate_removes_spans(spark):
     assert set(got) == {0, 2, 3}
     assert got[0]["text"] == "Before,  after words stand here and here and here" and got[0]["n_chars"] == len(got[0]["text"])
     assert got[2]["text"] == "clean text"
+    short = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    cut = decontaminate.decontaminate(documents(spark, ["x y Alpha, beta z w v"]), short).first()
+    assert cut["text"] == "x y  z w v"
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_hits(documents(spark, texts), none, keep=["doc_id"]).where("size(hit_items) > 0").count() == 0
 
@@ -203,6 +206,32 @@ def test_html_pages(spark):
         assert r["text"] == "\n".join(x for x in blocks if x) and r["n_chars"] == len(r["text"])
 
 
+def test_html_custom_elements_and_unclosed_ones():
+    weights = html.Weights.fit(*html.counts(PAGE))
+    for inside in ("<svg-icon></svg-icon>", "<script-box></script-box>", "<button>go</button>", "<svg><path d='x'/></svg>"):
+        page = PAGE.replace("<p>Third.", f"{inside}<p>Third, of so many words that they outweigh the tags before them, and then some more.")
+        assert html.extract(page, weights).endswith("Second text.\nThird, of so many words that they outweigh the tags before them, and then some more."), inside
+    swallowed = PAGE.replace("<aside>Side words here</aside>", "<section><button>go</section><p>Words and words and words and more words of an article that goes on.</p>")
+    assert html.extract(swallowed, weights).endswith("goes on.\nThird.")
+    assert html.extract("<article>" + "<p>many words here</p>" * 30_000 + "</article>", weights).count("\n") == 29_999
+
+
+def test_license_phrases_of_a_long_text():
+    n, starts, labels, _ = licenses.scan_words(b"mit license, " * 100_000, [])
+    assert (n, len(starts), starts[-1], labels) == (200_000, 100_000, 199_998, {"mit"})
+
+
+def test_clashing_columns_stay(spark):
+    more = ["_words", "n_words", "_data", "_s", "_e", "_i", "clean_text", "spans", "kept", "c0", "row", "hit_items", "h"]
+    text = " ".join(f"word{k}" for k in range(80)) + " token = '04dbebab91ab85687d33eeaaf9ac699e1188f962'"
+    docs = documents(spark, [text, None]).selectExpr("*", *(f"'{x}' AS `{x}`" for x in more))
+    items = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(10, 20)))], "item_id long, text string")
+    for df in (quality.keep_good(docs), decontaminate.decontaminate(docs, items), secrets.redact_secrets(docs)):
+        assert df.columns == docs.columns
+        r = next(r for r in df.collect() if r["doc_id"] == 0)
+        assert [r[x] for x in more] == more and r["n_chars"] == len(r["text"])
+
+
 def test_html_null_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, "<p>word word</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"]) for r in html.extract_pages(pages).collect()) == [(1, ""), (2, ""), (2, "word word")]
