@@ -5,11 +5,11 @@ shared folder and rereads it as the next stage's docs.  All stages but the last
 
 - quality: documents that the base rule or the cascade rejects go.
 - near_duplicates: of documents linked by 5-word shingles at a similarity of 0.8 or more, directly or over others,
-  the one of the least doc_id stays.
-- decontaminate: runs of 8 or more words that stand in a benchmark item are cut out; a document that
+  the one of the least doc_id stays (one without doc_id only where there is no other).
+- decontaminate: runs of 8 or more words that stand in a benchmark item, and whole items of fewer words, are cut out; a document that
   consists of them by more than half goes.
 - secrets: what a rule finds is replaced by [SECRET]; no document goes.
-- pieces: n_pieces, the checksum of the ids, and whether decoding gives the text back, for each document.
+- pieces: the piece ids of each document, their number and checksum, and whether decoding gives the text back.
 
 Null and empty texts are rejected by the first stage (fewer than 50 words).  An empty table gives an empty result.
 """
@@ -26,12 +26,12 @@ from lodegraph.llm.common import materialize, table
 from lodegraph.llm.decontaminate import decontaminate
 from lodegraph.llm.jaccard import one_of_each
 from lodegraph.llm.pieces import encode_documents
-from lodegraph.llm.quality import apply_rules
+from lodegraph.llm.quality import keep_good
 from lodegraph.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return apply_rules(docs).where("kept").select(*docs.columns)
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    return encode_documents(docs.withColumn("text", F.coalesce("text", F.lit(""))), public_tokenizers.path("piece_bpe_32k.model"), keep)
+    return encode_documents(docs.withColumn("text", F.coalesce("text", F.lit(""))), public_tokenizers.path("piece_bpe_32k.model"), keep, ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
