@@ -11,9 +11,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def log_of(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The goals' log probabilities by logits x, which are used up."""
+    x -= x.max(axis=1, keepdims=True)
+    at_goal = x[np.arange(len(goal)), goal].astype(np.float64)
+    np.exp(x, out=x)
+    return at_goal - np.log(x.sum(axis=1, dtype=np.float64))
 
 
 def softmax_of(x: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> float:
@@ -207,17 +210,24 @@ class Gru:
             h[:live], before[:live] = states[-1], goal[-1]
             flat, want = states[mask], goal[mask]
             cls, inner = want // self.width, want % self.width
-            got = log_softmax(flat @ p["C"] + p["c"])[np.arange(len(want)), cls].astype(np.float64)
+            # words of one class side by side: each class works on a stretch of rows
             by = np.argsort(cls, kind="stable")
-            edges = np.searchsorted(cls[by], np.arange(self.classes + 1))
+            flat, cls, inner = flat[by], cls[by], inner[by]
+            logits = flat @ p["C"]
+            logits += p["c"]
+            got = log_of(logits, cls)
             if len(want) <= 512:  # few words: their classes' weights side by side
                 logits = np.einsum("nh,nhw->nw", flat, p["V"][cls]) + p["v"][cls]
-                got += log_softmax(logits)[np.arange(len(want)), inner]
-            for k in range(self.classes if len(want) > 512 else 0):
-                own = by[edges[k] : edges[k + 1]]
-                if len(own):
-                    got[own] += log_softmax(flat[own] @ p["V"][k] + p["v"][k])[np.arange(len(own)), inner[own]]
-            out[:live] += np.bincount(np.nonzero(mask)[1], got, minlength=live)
+            else:
+                logits = np.empty((len(want), self.width), flat.dtype)
+                edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+                for k in range(self.classes):
+                    i, j = edges[k], edges[k + 1]
+                    if i < j:
+                        np.matmul(flat[i:j], p["V"][k], out=logits[i:j])
+                        logits[i:j] += p["v"][k]
+            got += log_of(logits, inner)
+            out[:live] += np.bincount(np.nonzero(mask)[1][by], got, minlength=live)
         back = np.empty(len(texts))
         back[order] = out
         return back

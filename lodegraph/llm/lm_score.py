@@ -84,19 +84,27 @@ class Lookup(dict):
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.order = np.argsort(hashes, kind="stable")
-        self.sorted = hashes[self.order]
+        self.by_hash = dict(zip(hashes.view(np.uint64).tolist(), range(len(hashes)), strict=True))
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        h = hash_of(word)
-        k = int(np.searchsorted(self.sorted, h))
-        at = int(self.order[k]) if k < len(self.sorted) and self.sorted[k] == h else -1
-        self[word] = at
+        self[word] = at = self.by_hash.get(xxhash.xxh3_64_intdigest(word), -1)
         return at
 
 
+_LOOKUPS: dict[bytes, Lookup] = {}
+
+
+def lookup_of(hashes: np.ndarray) -> Lookup:
+    """One lookup a worker process for the table in use: it serves all tasks that the process runs, and goes with the next table."""
+    key = hashes.tobytes()
+    if key not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[key] = Lookup(hashes)
+    return _LOOKUPS[key]
+
+
 def placed(datas: list[bytes], lookup: Lookup) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """The words of texts, their places, the text of each, and the texts' numbers of words."""
     split = [data.lower().split() for data in datas]
@@ -141,7 +149,7 @@ def average_round(model: Gru, docs: DataFrame, hashes: np.ndarray, vocabulary: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, shared = sent.value
         own = copy.deepcopy(shared)  # a worker's next task begins with the shared weights again
-        adam, lookup = Adam(own.p), Lookup(hashes)
+        adam, lookup = Adam(own.p), lookup_of(hashes)
         end = numbers(np.zeros(1, np.int64), vocabulary)
         parts, waiting, words = [end], 0, 0
         for batch in batches:
@@ -207,7 +215,7 @@ def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int =
 
     def make():
         hashes, c, model = sent.value
-        lookup = Lookup(hashes)
+        lookup = lookup_of(hashes)
         log_c = np.log10(c + 1.0)  # a word beyond the table has place -1; what stands there is not used
 
         def f(columns: list[list]) -> list[list]:
