@@ -63,8 +63,7 @@ def cover(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     h = gram_hashes(data, gram)
     wide = length - gram + 1
     n = len(data) - length + 1
-    bits = np.uint64(24 if len(data) < 1 << 24 else 32)
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64(0xFFFFFFFF)  # positions; the same for all sizes, or equal windows of a short and a long text could differ
     keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     rows = -(-len(keys) // wide)
     block = np.concatenate([keys, np.full(rows * wide - len(keys), ~np.uint64(0))]).reshape(rows, wide)

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from lodegraph.llm import substrings
 
@@ -65,3 +66,14 @@ def test_odd_texts(spark):
     want = brute([(t or "").encode() for t in texts], 64)
     for r in substrings.remove_repeats(documents(spark, texts), 64).collect():
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+
+
+def test_windows_have_one_sample_in_texts_of_all_sizes(monkeypatch):
+    # hashes that agree in their upper 32 bits: what is compared below these must not depend on the text's size
+    own = substrings.gram_hashes
+    monkeypatch.setattr(substrings, "gram_hashes", lambda data, gram: own(data, gram) >> np.uint64(32))
+    short = np.random.default_rng(5).integers(97, 123, 2000, dtype=np.int64).astype(np.uint8)
+    long = np.concatenate([short, np.zeros(1 << 24, np.uint8)])
+    at, _, _, last = substrings.cover(short, 400, 32)
+    long_at, _, _, _ = substrings.cover(long, 400, 32)
+    assert at[:-1].tolist() == long_at[: len(at) - 1].tolist() and last[-1] == 1600
