@@ -5,6 +5,7 @@ import random
 import pytest
 from lodegraph.llm import jaccard
 from lodegraph.llm.components import components
+from pyspark.sql import functions as F
 
 from .helpers import SF, documents, odd_texts
 
@@ -173,6 +174,25 @@ def test_families_about_the_limit(spark, seed):
     assert rows == {k: c for k, (_, c) in enumerate(brute(texts, 4, 85))}
 
 
+def test_lists_and_sets_are_dealt_once(spark):
+    """What a leader's members need crosses one exchange, as text, and the lists are ranked once: both were done twice on larger tables."""
+    docs, plan = documents(spark, family(7)), jaccard.Plan(85)
+    indexed = jaccard.materialize(jaccard.index_lists(docs, 4, plan), "test-index")
+    sets = indexed.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.min("n_shingles").alias("n_shingles"))
+    found = jaccard.materialize(indexed.select("fp", F.explode("keys").alias("key"), F.lit(2).cast("long").alias("size")), "test-found")
+    needs = indexed.select("fp", F.inline("blocks")).distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert plan_of(jaccard.shortest(found, needs)).count("row_number()") == 1
+        lists = jaccard.leading(jaccard.materialize(jaccard.shortest(found, needs), "test-lists"))
+        pairs = lists.where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+        assert pairs.count()
+        assert plan_of(jaccard.judged(docs, sets, pairs, 4, 85)).count("MapInArrow") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(k, k + 1) for k in range(40, 120)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)] + [(500, k) for k in range(501, 700)]
