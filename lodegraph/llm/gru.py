@@ -5,23 +5,27 @@ from __future__ import annotations
 import numpy as np
 
 UNKNOWN = 0
+#: Rows whose logits are held at once: they stay near the processor.
+ROWS = 8192
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def log_of(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """The goals' log probabilities by logits x, which are used up."""
-    x -= x.max(axis=1, keepdims=True)
+def log_of(x: np.ndarray, goal: np.ndarray, bounded: bool = False) -> np.ndarray:
+    """The goals' log probabilities by logits x, which are used up.  Bounded ones need no shift by their maximum."""
+    if not bounded:
+        x -= x.max(axis=1, keepdims=True)
     at_goal = x[np.arange(len(goal)), goal].astype(np.float64)
     np.exp(x, out=x)
     return at_goal - np.log(x.sum(axis=1, dtype=np.float64))
 
 
-def softmax_of(x: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> float:
-    """Turns logits into probabilities, in place; gives the sum of the goals' log probabilities."""
-    x -= x.max(axis=1, keepdims=True)
+def softmax_of(x: np.ndarray, rows: np.ndarray, goal: np.ndarray, bounded: bool = False) -> float:
+    """Turns logits into probabilities, in place; gives the sum of the goals' log probabilities.  Bounded ones need no shift by their maximum."""
+    if not bounded:
+        x -= x.max(axis=1, keepdims=True)
     at_goal = float(x[rows, goal].sum(dtype=np.float64))
     np.exp(x, out=x)
     total = x.sum(axis=1, keepdims=True)
@@ -77,6 +81,30 @@ class Gru:
         }
         self.p = {k: x.astype(dtype) for k, x in self.p.items()}
 
+    def bounded(self) -> tuple[bool, bool]:
+        """Whether the classes' logits, and the words', stay where exp neither overflows nor leaves a row without a term, at any state (its parts are within 1)."""
+
+        def holds(weights: np.ndarray, bias: np.ndarray) -> bool:
+            reach, most = self.hidden * float(np.abs(weights).max()), bias.max(axis=-1)
+            return float(most.max()) + reach < 60 and float(most.min()) - reach > -60
+
+        return holds(self.p["C"], self.p["c"]), holds(self.p["V"], self.p["v"])
+
+    @property
+    def number(self) -> type:
+        """Narrow word numbers are sorted by radix."""
+        return np.int16 if self.classes * self.width <= 1 << 15 else np.int64
+
+    def word_logits(self, flat: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The logits of each row's class, and the stretch of each class; cls ascends."""
+        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        stretches = [(k, edges[k], edges[k + 1]) for k in range(self.classes) if edges[k] < edges[k + 1]]
+        out = np.empty((len(flat), self.width), flat.dtype)
+        for k, a, b in stretches:
+            np.matmul(flat[a:b], self.p["V"][k], out=out[a:b])
+            out[a:b] += self.p["v"][k]
+        return out, stretches
+
     def states(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
         """inputs: steps x batch.  The state after each step, and what backpropagation needs."""
         p, n = self.p, self.hidden
@@ -99,32 +127,29 @@ class Gru:
         out, kept = self.states(inputs, h)
         g = {k: np.zeros_like(x) for k, x in p.items()}
         # words of one class side by side: each class works on a stretch of rows
-        order = np.argsort(targets.ravel() // self.width, kind="stable")
-        flat, goal = out.reshape(-1, n)[order], targets.ravel()[order]
+        few_classes, few_words = self.bounded()
+        goal = targets.ravel().astype(self.number)
+        order = np.argsort(goal // self.width, kind="stable")
+        flat, goal = out.reshape(-1, n)[order], goal[order]
         cls, inner = goal // self.width, goal % self.width
-        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-        rows = np.arange(len(goal))
-        lc = flat @ p["C"]
-        lc += p["c"]
-        loss = -softmax_of(lc, rows, cls)
-        lc[rows, cls] -= 1
-        g["C"], g["c"] = flat.T @ lc, lc.sum(axis=0)
-        dh = lc @ p["C"].T
-        lw = np.empty((len(goal), self.width), flat.dtype)
-        for k in range(self.classes):
-            i, j = edges[k], edges[k + 1]
-            if i < j:
-                np.matmul(flat[i:j], p["V"][k], out=lw[i:j])
-                lw[i:j] += p["v"][k]
-        loss -= softmax_of(lw, rows, inner)
-        lw[rows, inner] -= 1
-        for k in range(self.classes):
-            i, j = edges[k], edges[k + 1]
-            if i < j:
-                g["V"][k], g["v"][k] = flat[i:j].T @ lw[i:j], lw[i:j].sum(axis=0)
-                dh[i:j] += lw[i:j] @ p["V"][k].T
-        back_in_place = np.empty_like(dh)
-        back_in_place[order] = dh
+        back_in_place, loss = np.empty_like(flat), 0.0
+        for i in range(0, len(goal), ROWS):
+            at, want, rows = flat[i : i + ROWS], cls[i : i + ROWS], np.arange(min(ROWS, len(goal) - i))
+            lc = at @ p["C"]
+            lc += p["c"]
+            loss -= softmax_of(lc, rows, want, few_classes)
+            lc[rows, want] -= 1
+            g["C"] += at.T @ lc
+            g["c"] += lc.sum(axis=0)
+            dh = lc @ p["C"].T
+            lw, stretches = self.word_logits(at, want)
+            loss -= softmax_of(lw, rows, inner[i : i + ROWS], few_words)
+            lw[rows, inner[i : i + ROWS]] -= 1
+            for k, a, b in stretches:
+                g["V"][k] += at[a:b].T @ lw[a:b]
+                g["v"][k] += lw[a:b].sum(axis=0)
+                dh[a:b] += lw[a:b] @ p["V"][k].T
+            back_in_place[order[i : i + ROWS]] = dh
         dh = back_in_place.reshape(out.shape)
         back = np.zeros_like(h)
         dx = np.empty((*inputs.shape, 3 * n), h.dtype)
@@ -146,12 +171,12 @@ class Gru:
         flat_x = dx.reshape(-1, 3 * n)
         g["b"] = flat_x.sum(axis=0)
         # the inputs' gradients, summed by word
-        e = inputs.ravel()
+        e = inputs.ravel().astype(self.number)
+        g["W"] = p["E"][e].T @ flat_x
         order = np.argsort(e, kind="stable")
         words, first = np.unique(e[order], return_index=True)
-        by_word = np.add.reduceat(flat_x[order], first, axis=0) if len(e) else flat_x
-        g["W"] = p["E"][words].T @ by_word
-        g["E"][words] = by_word @ p["W"].T
+        if len(e):
+            g["E"][words] = np.add.reduceat((flat_x @ p["W"].T)[order], first, axis=0)
         return loss, g, out[-1]
 
     def train(self, stream: np.ndarray, batch: int = 32, window: int = 32, epochs: int = 3, rate: float = 0.01) -> list[float]:
@@ -190,21 +215,22 @@ class Gru:
 
     def log_probability(self, texts: list[np.ndarray], first: int, window: int = 64) -> np.ndarray:
         """ln P of each whole text (word numbers, the end word last).  Texts go side by side, a window at a time, the state carried over."""
-        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-        lens = np.array([len(texts[k]) for k in order])
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-lens, kind="stable")
+        flow = np.concatenate([*texts, np.zeros(1, np.int64)]).astype(self.number)
+        begins = (np.cumsum(lens) - lens)[order]
+        lens = lens[order]
         out = np.zeros(len(texts))
+        few_classes, few_words = self.bounded()
         p = self.p
         h = np.zeros((len(texts), self.hidden), p["U"].dtype)
-        before = np.full(len(texts), first, np.int64)
+        before = np.full(len(texts), first, self.number)
         for a in range(0, int(lens[0]) if len(lens) else 0, window):
             live = int((lens > a).sum())
             most = min(window, int(lens[0]) - a)
-            goal = np.zeros((most, live), np.int64)
-            mask = np.zeros((most, live), bool)
-            for k in range(live):
-                part = texts[order[k]][a : a + window]
-                goal[: len(part), k] = part
-                mask[: len(part), k] = True
+            steps = a + np.arange(most)[:, None]
+            mask = steps < lens[:live]
+            goal = flow[np.where(mask, begins[:live] + steps, len(flow) - 1)]
             inputs = np.concatenate([before[None, :live], goal[:-1]])
             states, _ = self.states(inputs, h[:live])
             h[:live], before[:live] = states[-1], goal[-1]
@@ -213,20 +239,17 @@ class Gru:
             # words of one class side by side: each class works on a stretch of rows
             by = np.argsort(cls, kind="stable")
             flat, cls, inner = flat[by], cls[by], inner[by]
-            logits = flat @ p["C"]
-            logits += p["c"]
-            got = log_of(logits, cls)
-            if len(want) <= 512:  # few words: their classes' weights side by side
-                logits = np.einsum("nh,nhw->nw", flat, p["V"][cls]) + p["v"][cls]
-            else:
-                logits = np.empty((len(want), self.width), flat.dtype)
-                edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-                for k in range(self.classes):
-                    i, j = edges[k], edges[k + 1]
-                    if i < j:
-                        np.matmul(flat[i:j], p["V"][k], out=logits[i:j])
-                        logits[i:j] += p["v"][k]
-            got += log_of(logits, inner)
+            got = np.empty(len(want))
+            for i in range(0, len(want), ROWS):
+                at, of = flat[i : i + ROWS], cls[i : i + ROWS]
+                logits = at @ p["C"]
+                logits += p["c"]
+                part = log_of(logits, of, few_classes)
+                if len(want) <= 512:  # few words: their classes' weights side by side
+                    logits = np.einsum("nh,nhw->nw", at, p["V"][of]) + p["v"][of]
+                else:
+                    logits, _ = self.word_logits(at, of)
+                got[i : i + ROWS] = part + log_of(logits, inner[i : i + ROWS], few_words)
             out[:live] += np.bincount(np.nonzero(mask)[1][by], got, minlength=live)
         back = np.empty(len(texts))
         back[order] = out

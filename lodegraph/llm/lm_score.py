@@ -22,7 +22,7 @@ import copy
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -125,38 +125,55 @@ def numbers(at: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.where((at >= 0) & (at < vocabulary - 1), at + 1, UNKNOWN)
 
 
+def numbers_of(datas: list[bytes], names: dict[bytes, int]) -> np.ndarray:
+    """Word numbers of the model over texts, each text's end behind it; names: of all words of the vocabulary, and of the end, which is the empty word."""
+    split = [data.lower().split() for data in datas]
+    for words in split:
+        words.append(b"")
+    return np.fromiter(map(names.get, chain.from_iterable(split), repeat(UNKNOWN)), np.int64, sum(map(len, split)))
+
+
 def round_of() -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(ROUNDS))
 
 
-def start_model(model: Gru, training: DataFrame, n: int, lookup: Lookup, vocabulary: int, train_documents: int) -> None:
-    """Trains the model on the driver, on a sample by doc_id that has START_WORDS of the n training words, about, at most."""
+def start_model(model: Gru, training: DataFrame, n: int, lookup: Lookup, vocabulary: int, train_documents: int) -> dict[bytes, int]:
+    """Trains the model on the driver, on a sample by doc_id that has START_WORDS of the n training words, about, at most; gives the
+    sample's words with their numbers in the model, as far as they are in the vocabulary, and the end."""
     every = max(1, training.count() // max(1, train_documents), n // START_WORDS)
     sample = training.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(every)) == 0).orderBy("doc_id").limit(2 * train_documents)
-    parts = [np.zeros(1, np.int64)]
+    parts, names = [np.zeros(1, np.int64)], {b"": int(numbers(np.zeros(1, np.int64), vocabulary)[0])}
     for r in sample.select(text_bytes().alias("t")).toLocalIterator():
         words = bytes(r["t"]).lower().split()
         parts.append(numbers(np.array([lookup[w] for w in words] + [0]), vocabulary).astype(np.int32))
+        names.update((w, k) for w, k in zip(words, parts[-1].tolist(), strict=False) if k != UNKNOWN)
     parts[0] = numbers(parts[0], vocabulary).astype(np.int32)
     model.train(np.concatenate(parts))
+    return names
+
 
+def average_round(model: Gru, docs: DataFrame, hashes: np.ndarray, vocabulary: int, rate: float, lanes: int, known: dict[bytes, int]) -> None:
+    """Each task trains the model on its rows of docs, a block of words at a time; the model becomes the mean of theirs, by their words.
 
-def average_round(model: Gru, docs: DataFrame, hashes: np.ndarray, vocabulary: int, rate: float, lanes: int) -> None:
-    """Each task trains the model on its rows of docs, a block of words at a time; the model becomes the mean of theirs, by their words."""
-    sent = docs.sparkSession.sparkContext.broadcast((hashes, model))
+    Where known has all words of the vocabulary, it gives the words' numbers; else their hashes do."""
+    complete = len(known) == len(hashes)
+    sent = docs.sparkSession.sparkContext.broadcast((hashes, model, known if complete else None))
     names = sorted(model.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shared = sent.value
+        hashes, shared, known = sent.value
         own = copy.deepcopy(shared)  # a worker's next task begins with the shared weights again
-        adam, lookup = Adam(own.p), lookup_of(hashes)
+        adam, lookup = Adam(own.p), None if known else lookup_of(hashes)
         end = numbers(np.zeros(1, np.int64), vocabulary)
         parts, waiting, words = [end], 0, 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 datas = batch.slice(i, 256).column(0).to_pylist()
-                _, at, owner, _ = placed(datas, lookup)
-                parts.append(numbers(with_ends(at, owner, len(datas)), vocabulary))
+                if known:
+                    parts.append(numbers_of(datas, known))
+                else:
+                    _, at, owner, _ = placed(datas, lookup)
+                    parts.append(numbers(with_ends(at, owner, len(datas)), vocabulary))
                 waiting += len(parts[-1])
                 if waiting >= BLOCK:
                     words += own.learn(adam, np.concatenate(parts), rate, lanes)
@@ -204,9 +221,9 @@ def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int =
     known = c[: vocabulary - 1]
     unknown_mass = float(n + v + 1 - (known + 1).sum())
     model = Gru(np.concatenate([[max(0.0, n - known.sum())], known]), hidden)
-    start_model(model, training, n, Lookup(hashes), vocabulary, train_documents)
+    names = start_model(model, training, n, Lookup(hashes), vocabulary, train_documents)
     for k in range(ROUNDS):
-        average_round(model, training.where(round_of() == k), hashes[: vocabulary - 1], vocabulary, RATE * 0.5**k, lanes=min(LANES, max(32, n // 100_000)))
+        average_round(model, training.where(round_of() == k), hashes[: vocabulary - 1], vocabulary, RATE * 0.5**k, lanes=min(LANES, max(32, n // 100_000)), known=names)
 
     sent = spark.sparkContext.broadcast((hashes, c, model))
     norm = float(np.log10(n + 1 * (v + 1)))

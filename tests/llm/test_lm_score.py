@@ -97,6 +97,30 @@ def test_state_is_carried_and_probabilities_sum_to_one():
     assert np.exp(model.log_probability(every, 1)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_bounded_logits_need_no_shift_and_others_get_it():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 40, k) for k in (3, 900)]
+    for scale, bounded in ((1, True), (4000, False)):
+        model = Gru(rng.integers(1, 50, 40).astype(float), hidden=6, width=8)
+        model.p["C"] *= scale
+        model.p["V"] *= scale
+        assert model.bounded() == (bounded, bounded)
+        wide = Gru(np.ones(40), hidden=6, width=8, dtype=np.float64)
+        wide.p = {k: x.astype(np.float64) for k, x in model.p.items()}
+        wide.bounded = lambda: (False, False)
+        assert model.log_probability(texts, 1) == pytest.approx(wide.log_probability(texts, 1), rel=1e-3)
+
+
+def test_words_by_name_get_the_numbers_that_hashes_give():
+    words = [b"", *(b"w%d" % k for k in range(60))]
+    hashes = np.array([lm_score.hash_of(w) for w in words])
+    datas = [b"W1 w2\tw59 other w60", b"", b" ", b"w7 w7 none"]
+    _, at, owner, _ = lm_score.placed(datas, lm_score.Lookup(hashes[:49]))
+    want = lm_score.numbers(lm_score.with_ends(at, owner, len(datas)), 50)
+    names = {w: k + 1 for k, w in enumerate(words[:49])}
+    assert lm_score.numbers_of(datas, names).tolist() == want.tolist()
+
+
 def test_training_learns_an_order():
     stream = np.array([1, 2, 3, 4, 5] * 20_000)
     model = Gru(np.array([0, 1, 1, 1, 1, 1.0]), hidden=8, width=4)
