@@ -24,6 +24,8 @@ from .common import renamed, table
 SPACE = " \t\n\x0b\x0c\r"
 #: Up to so many words a 3-word window is one long: 44 bits of hash, 20 of position.
 PACKED = 1 << 20
+#: Seconds by which two jobs over one small sample differ without a reason.
+NOISE = 0.02
 
 
 def repeated_words(words: Column, n: Column) -> Column:
@@ -97,8 +99,8 @@ def rules(text: str = "text") -> dict[str, Column]:
 def order_rules(figured: DataFrame, text: str = "text", rounds: int = 3) -> list[str]:
     """Rule names by rejections per cost, both measured on the rows of figured (a sample).
 
-    A rule's cost is the least time of some rounds over the sample beyond what a rule without any work takes
-    (0.1 ms at least); one job gives the rejections of all.
+    A rule's cost is the least time of some rounds over the sample beyond what a rule without any work takes, NOISE at
+    least; equal gains go by the order of rules().  One job gives the rejections of all.
     """
     own = rules(text)
     sample = figured.select(text, "n_words", "word_chars", "n_symbols", "n_dup_lines").persist()
@@ -117,10 +119,10 @@ def order_rules(figured: DataFrame, text: str = "text", rounds: int = 3) -> list
         # a rule that rejects none comes last at any cost
         found = [k for k in own if got[k]]
         idle = seconds(F.col("n_words") < 0) if len(found) > 1 else 0.0
-        gain = {k: got[k] / max(seconds(own[k]) - idle, 1e-4) if len(found) > 1 else 1.0 for k in found}
+        gain = {k: got[k] / max(seconds(own[k]) - idle, NOISE) if len(found) > 1 else 1.0 for k in found}
     finally:
         sample.unpersist()
-    return sorted(own, key=lambda k: (-gain.get(k, 0.0), k))
+    return sorted(own, key=lambda k: -gain.get(k, 0.0))
 
 
 def sample_of(docs: DataFrame, text: str, sample_rows: int) -> DataFrame:

@@ -52,6 +52,21 @@ def test_quality_order_puts_cheap_rejections_first(spark):
     assert quality.order_rules(quality.figures(documents(spark, texts)))[0] == "symbols"
 
 
+def test_quality_order_is_not_led_by_noise_of_the_clock(spark, monkeypatch):
+    """Three rounds each of a rule without work, of symbols, and of letters, whose least time is the smaller one here."""
+    took = iter([0.010] * 3 + [0.013] * 3 + [0.0101] * 3)
+    now = [0.0, 0]
+
+    def clock():
+        now[1] += 1
+        now[0] += next(took) if now[1] % 2 == 0 else 0
+        return now[0]
+
+    monkeypatch.setattr(quality.time, "perf_counter", clock)
+    texts = ["word ### " * 60] * 40 + ["plain words of many kinds"] * 10
+    assert quality.order_rules(quality.figures(documents(spark, texts)))[0] == "symbols"
+
+
 def test_quality_keeps_labelled_good(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
