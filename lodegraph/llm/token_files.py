@@ -257,10 +257,10 @@ def read_files(spark: SparkSession, files: Iterable[tuple[str, int, int]]) -> Da
                 with system.open_input_file(path) as f:
                     file = TokenFile(f.read())
                 out: list[list] = [[], [], [], []]
-                for k in range(file.n_docs):
-                    a, b = int(file.starts[k]), int(file.starts[k + 1])
-                    ids = file.tokens(a, b)
-                    for c, v in zip(out, (None if file.nulls[k] else int(file.docs[k]), first + a, b - a, zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                ids = memoryview(file.tokens(0, file.n_tokens).astype("<u4").tobytes())
+                starts = file.starts.tolist()
+                for d, null, a, b in zip(file.docs.tolist(), file.nulls.tolist(), starts[:-1], starts[1:], strict=True):
+                    for c, v in zip(out, (None if null else d, first + a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
