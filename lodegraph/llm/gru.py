@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 UNKNOWN = 0
@@ -9,8 +11,27 @@ UNKNOWN = 0
 ROWS = 8192
 
 
+def keep_memory(mmap: int = 32 << 20, trim: int = 128 << 20) -> bool:
+    """Lets this process (a worker) use the memory of freed arrays again, up to trim bytes, instead of giving it back to the system and
+    touching it anew at each step; whether the C library offers that (glibc)."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return False
+    return bool(mallopt(-3, mmap) and mallopt(-1, trim))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """Of short rows, which a product with ones adds up faster than a reduction."""
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def log_of(x: np.ndarray, goal: np.ndarray, bounded: bool = False) -> np.ndarray:
@@ -19,7 +40,7 @@ def log_of(x: np.ndarray, goal: np.ndarray, bounded: bool = False) -> np.ndarray
         x -= x.max(axis=1, keepdims=True)
     at_goal = x[np.arange(len(goal)), goal].astype(np.float64)
     np.exp(x, out=x)
-    return at_goal - np.log(x.sum(axis=1, dtype=np.float64))
+    return at_goal - np.log(row_sums(x).astype(np.float64))
 
 
 def softmax_of(x: np.ndarray, rows: np.ndarray, goal: np.ndarray, bounded: bool = False) -> float:
@@ -28,8 +49,8 @@ def softmax_of(x: np.ndarray, rows: np.ndarray, goal: np.ndarray, bounded: bool
         x -= x.max(axis=1, keepdims=True)
     at_goal = float(x[rows, goal].sum(dtype=np.float64))
     np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
-    x /= total
+    total = row_sums(x)
+    x *= np.reciprocal(total)[:, None]
     return at_goal - float(np.log(total).sum(dtype=np.float64))
 
 
@@ -105,20 +126,28 @@ class Gru:
             out[a:b] += self.p["v"][k]
         return out, stretches
 
-    def states(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """inputs: steps x batch.  The state after each step, and what backpropagation needs."""
+    def by_gate(self, x: np.ndarray) -> np.ndarray:
+        """Columns of the three gates as three arrays of their own, each without gaps."""
+        return np.ascontiguousarray(x.reshape(len(x), 3, self.hidden).transpose(1, 0, 2))
+
+    def states(self, inputs: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+        """inputs: steps x batch.  The state after each step, and, where it is to be kept, what backpropagation needs."""
         p, n = self.p, self.hidden
-        table = p["E"] @ p["W"] + p["b"]
+        table, by_state = self.by_gate(p["E"] @ p["W"] + p["b"]), self.by_gate(p["U"])
         kept, out = [], np.empty((*inputs.shape, n), h.dtype)
         for t in range(len(inputs)):
-            x = table[inputs[t]]
-            u = h @ p["U"]
-            zr = sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-            kept.append((h, z, r, new, u[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
+            x = table.take(inputs[t], axis=1)
+            u = np.matmul(h, by_state)
+            x[:2] += u[:2]
+            z, r = sigmoid(x[:2])
+            new = x[2]
+            new += r * u[2]
+            np.tanh(new, out=new)
+            if keep:
+                kept.append((h, z, r, new, u[2]))
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            h += new
         return out, kept
 
     def loss(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -130,7 +159,7 @@ class Gru:
         few_classes, few_words = self.bounded()
         goal = targets.ravel().astype(self.number)
         order = np.argsort(goal // self.width, kind="stable")
-        flat, goal = out.reshape(-1, n)[order], goal[order]
+        flat, goal = out.reshape(-1, n).take(order, axis=0), goal[order]
         cls, inner = goal // self.width, goal % self.width
         back_in_place, loss = np.empty_like(flat), 0.0
         for i in range(0, len(goal), ROWS):
@@ -152,31 +181,40 @@ class Gru:
             back_in_place[order[i : i + ROWS]] = dh
         dh = back_in_place.reshape(out.shape)
         back = np.zeros_like(h)
-        dx = np.empty((*inputs.shape, 3 * n), h.dtype)
-        du = np.empty((*inputs.shape, 3 * n), h.dtype)
+        by_state = self.by_gate(p["U"]).transpose(0, 2, 1)
+        dx = np.empty((3, *inputs.shape, n), h.dtype)  # by gate
+        du = np.empty((*inputs.shape, n), h.dtype)  # of the third gate; the others' are as in dx
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, new, u = kept[t]
             back += dh[t]
             hold = back * z
-            dnew = (back - hold) * (1 - new * new)
-            dx[t, :, :n] = (before - new) * (hold - hold * z)
-            dr = dnew * r
-            du[t, :, 2 * n :] = dr
-            dx[t, :, n : 2 * n] = dr * u * (1 - r)
-            dx[t, :, 2 * n :] = dnew
-            du[t, :, : 2 * n] = dx[t, :, : 2 * n]
-            back = du[t] @ p["U"].T
+            back -= hold
+            dz, dr, dnew = dx[0, t], dx[1, t], dx[2, t]
+            np.multiply(new, new, out=dnew)
+            np.subtract(1, dnew, out=dnew)
+            dnew *= back
+            np.subtract(before, new, out=dz)
+            dz *= hold - hold * z
+            np.multiply(dnew, r, out=du[t])
+            np.subtract(1, r, out=dr)
+            dr *= u
+            dr *= du[t]
+            back = dz @ by_state[0]
+            back += dr @ by_state[1]
+            back += du[t] @ by_state[2]
             back += hold
-        g["U"] = np.concatenate([k[0] for k in kept]).T @ du.reshape(-1, 3 * n)
-        flat_x = dx.reshape(-1, 3 * n)
-        g["b"] = flat_x.sum(axis=0)
+        states = np.concatenate([k[0] for k in kept]).T
+        flat_x = dx.reshape(3, -1, n)
+        g["U"] = np.concatenate([states @ flat_x[0], states @ flat_x[1], states @ du.reshape(-1, n)], axis=1)
         # the inputs' gradients, summed by word
         e = inputs.ravel().astype(self.number)
-        g["W"] = p["E"][e].T @ flat_x
         order = np.argsort(e, kind="stable")
         words, first = np.unique(e[order], return_index=True)
         if len(e):
-            g["E"][words] = np.add.reduceat((flat_x @ p["W"].T)[order], first, axis=0)
+            by_word = np.concatenate([np.add.reduceat(x.take(order, axis=0), first, axis=0) for x in flat_x], axis=1)
+            g["b"] = by_word.sum(axis=0)
+            g["W"] = p["E"][words].T @ by_word
+            g["E"][words] = by_word @ p["W"].T
         return loss, g, out[-1]
 
     def train(self, stream: np.ndarray, batch: int = 32, window: int = 32, epochs: int = 3, rate: float = 0.01) -> list[float]:
@@ -232,7 +270,7 @@ class Gru:
             mask = steps < lens[:live]
             goal = flow[np.where(mask, begins[:live] + steps, len(flow) - 1)]
             inputs = np.concatenate([before[None, :live], goal[:-1]])
-            states, _ = self.states(inputs, h[:live])
+            states, _ = self.states(inputs, h[:live], keep=False)
             h[:live], before[:live] = states[-1], goal[-1]
             flat, want = states[mask], goal[mask]
             cls, inner = want // self.width, want % self.width

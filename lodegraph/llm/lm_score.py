@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, table, text_bytes
-from .gru import UNKNOWN, Adam, Gru
+from .gru import UNKNOWN, Adam, Gru, keep_memory
 
 #: The training documents are dealt to so many rounds; the rate halves each round.
 ROUNDS, RATE = 3, 0.01
@@ -162,6 +162,7 @@ def average_round(model: Gru, docs: DataFrame, hashes: np.ndarray, vocabulary: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, shared, known = sent.value
+        keep_memory()
         own = copy.deepcopy(shared)  # a worker's next task begins with the shared weights again
         adam, lookup = Adam(own.p), None if known else lookup_of(hashes)
         end = numbers(np.zeros(1, np.int64), vocabulary)
@@ -232,6 +233,7 @@ def score_documents(docs: DataFrame, vocabulary: int = 1024, table_words: int =
 
     def make():
         hashes, c, model = sent.value
+        keep_memory()
         lookup = lookup_of(hashes)
         log_c = np.log10(c + 1.0)  # a word beyond the table has place -1; what stands there is not used
 

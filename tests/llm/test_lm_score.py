@@ -2,6 +2,8 @@
 
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -86,6 +88,28 @@ def test_gradients():
             assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-5), (k, at)
 
 
+FAULTS = """
+import resource
+import numpy as np
+from lodegraph.llm import gru
+if not gru.keep_memory():
+    print("none")
+model, h = gru.Gru(1e6 / np.arange(1, 1025)), np.zeros((1024, 16), np.float32)
+words = np.random.default_rng(0).integers(0, 1024, (33, 1024))
+for _ in range(6):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    model.loss(words[:-1], words[1:], h)
+    print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+
+
+def test_training_steps_use_the_same_memory_again():
+    got = subprocess.run([sys.executable, "-c", FAULTS], capture_output=True, text=True, check=True).stdout.split()
+    if got[0] == "none":
+        pytest.skip("the C library doesn't offer it")
+    assert int(got[-1]) < 500  # pages; some 8,000 without
+
+
 def test_state_is_carried_and_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     model = Gru(rng.integers(1, 50, 10).astype(float), hidden=6, width=4, dtype=np.float64)
