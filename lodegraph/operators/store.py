@@ -30,3 +30,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     names = [f"c{k}" for k in range(len(df.columns))]
     df.toDF(*names).write.parquet(path)
     return df.sparkSession.read.schema(df.toDF(*names).schema).parquet(path).toDF(*df.columns)
+
+
+#: Plan nodes that give the same rows each time that they run over the same rows; sums of fractions, limits and the first of equals needn't.
+STEADY = {"Project", "Filter", "Join", "Union", "Generate", "Sort", "Distinct", "SubqueryAlias", "View", "LogicalRelation", "Relation", "LocalRelation", "OneRowRelation", "Range"}
+
+
+def same_rows(df: DataFrame) -> DataFrame:
+    """df, or a copy of its rows if they could differ when df is read twice."""
+    plan = df._jdf.queryExecution().analyzed()
+    nodes, steady = [plan], plan.deterministic()
+    while nodes and steady:
+        node = nodes.pop()
+        steady = node.nodeName().split(" ")[0] in STEADY
+        inner = node.children()
+        nodes += [inner.apply(k) for k in range(inner.size())]
+    if steady:
+        return df
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

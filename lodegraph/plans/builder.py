@@ -7,16 +7,18 @@ has one column of its name.  Everything is declared; Catalyst prunes columns, pu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import EdgeTable, GraphCatalog
 from ..functions.registry import AGGREGATE, SCALAR, list_extract, list_slice
+from ..operators.store import same_rows
 from . import ast as A
 from .parser import CypherError
 
@@ -47,6 +49,7 @@ class Scope:
 
 
 ID = {"node": "_id", "rel": "_eid"}
+SIZES = ("size", "list_size", "array_length")
 
 
 class Builder:
@@ -568,14 +571,24 @@ class Builder:
                 scope, _ = self.value(scope, i.expr, agg)
                 after.append((i.alias, renamed(i.expr, by_name, within_aggregates=False)))
                 vars_[i.alias] = Kind("value")
-        # of equal arguments in a group only the first counts: the others become null, which these aggregates skip
-        for n, (args, spare) in list(agg.pop(" once", {}).items()):
-            first = F.row_number().over(Window.partitionBy(*(F.col(k) if isinstance(k, str) else k for k in keys), *args).orderBy(F.lit(1))) == 1
-            scope = replace(scope, df=scope.df.withColumns({f"{n}{k}": F.when(first & reduce(lambda a, b: a & b, (y.isNotNull() for y in args)), x) for k, x in enumerate(args)}))
-            agg[n] = AGGREGATE[spare[0]](*(c(f"{n}{k}") for k in range(len(args))), *spare[1])
+        tables: dict[str, tuple[list[Column], dict[str, Callable[..., Column]]]] = {}
+        for n, (text, args, made) in agg.pop(" values", {}).items():
+            tables.setdefault(text, (args, {}))[1][n] = made
+        rows, names = scope.df, scope.df.select(*keys).columns if keys else []
+        if tables:  # each reads the rows once more and counts their values, so that no list of a group's rows is held
+            held = {self.new("k"): x for x in keys} | {self.new("v"): x for args, _ in tables.values() for x in args}
+            rows, left = same_rows(rows.withColumns(held)), list(held)
+            keys = [c(left.pop(0)).alias(n) for n in names]
         aggs = [x.alias(n) for n, x in agg.items()]
-        named = scope.df.groupBy(*keys) if keys else scope.df.groupBy()
+        named = rows.groupBy(*keys) if keys else rows.groupBy()
         df = named.agg(*carried, *aggs) if carried or aggs else named.agg(F.count(F.lit(1)).alias(" n"))
+        for args, makers in tables.values():
+            own, n, at = [c(left.pop(0)) for _ in args], self.new("n"), self.new("at")
+            found = rows.withColumn(at, F.monotonically_increasing_id()).groupBy(*keys, *own).agg(F.count(F.lit(1)).alias(n), F.min(c(at)).alias(at))
+            fresh = {k: self.new("k") for k in names}
+            found = found.groupBy(*(c(k).alias(v) for k, v in fresh.items())).agg(*(made(own, c(n), c(at)).alias(a) for a, made in makers.items()))
+            cond = reduce(lambda a, b: a & b, (c(k).eqNullSafe(c(v)) for k, v in fresh.items()), F.lit(True))
+            df = df.join(found, cond, "left").drop(*fresh.values())
         out = Scope(df, dict(vars_))
         done = Expressions(self, Scope(df, {k: v for k, v in vars_.items() if k not in dict(after)}), {}, None)
         done.ready = True
@@ -794,6 +807,8 @@ class Expressions:
         name = x.name
         if name in AGGREGATE and name not in SCALAR:
             return self.aggregate(x)
+        if name in SIZES and len(x.args) == 1 and isinstance(y := x.args[0], A.Call) and len(y.args) == 1 and (y.name in ("list", "array_agg") or y.name == "collect" and not y.distinct):
+            return self.aggregate(x)
         var = x.args[0].name if x.args and isinstance(x.args[0], A.Var) and x.args[0].name not in self.local else None
         kind = self.scope.vars.get(var) if var else None
         if kind and kind.what in ID:
@@ -852,18 +867,30 @@ class Expressions:
         if self.agg is None:
             raise CypherError(f"{x.name}() can't stand here")
         held, self.agg = self.agg, None
+        sized, x = x.name in SIZES, x.args[0] if x.name in SIZES else x
         args = [self.counted(y) if x.name == "count" else self.of(y) for y in x.args]
         self.agg = held
         if x.star or not args:
             out = F.count(F.lit(1))
+        elif sized and not x.distinct:  # no list is made for its size
+            out = F.count(args[0]) if x.name == "collect" else F.count(F.lit(1))
         elif x.distinct and x.name in ("list", "array_agg"):
-            out = F.array_distinct(AGGREGATE[x.name](*args))
+            made = (lambda own, n, at: F.count(F.lit(1))) if sized else (lambda own, n, at: F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), own[0].alias("x")))), lambda s: s["x"]))
+            return self.by_value(name, repr(x.args), args, made)
+        elif x.name == "histogram" and not x.distinct:
+            made = lambda own, n, at: F.map_from_entries(F.collect_list(F.when(own[0].isNotNull(), F.struct(own[0], n))))
+            return self.by_value(name, "text of " + repr(x.args), [args[0].cast("string")], made)
         elif x.distinct and x.name in ("count", "sum", "collect"):
             out = {"count": F.count_distinct, "sum": F.sum_distinct, "collect": F.collect_set}[x.name](*args)
         elif x.distinct and x.name not in ("min", "max"):
             fixed = [k for k, y in enumerate(x.args) if k and isinstance(y, A.Lit)]  # a separator, a share
-            self.agg.setdefault(" once", {})[name] = ([y for k, y in enumerate(args) if k not in fixed], (x.name, [args[k] for k in fixed]))
-            return F.lit(None)
+            rest = [args[k] for k in fixed]
+
+            def made(own: list[Column], n: Column, at: Column) -> Column:
+                there = reduce(lambda a, b: a & b, (y.isNotNull() for y in own))
+                return AGGREGATE[x.name](*(F.when(there, y) for y in own), *rest)
+
+            return self.by_value(name, repr(tuple(y for k, y in enumerate(x.args) if k not in fixed)), [y for k, y in enumerate(args) if k not in fixed], made)
         elif x.name in ("collect", "list", "array_agg") and self.scope.order:
             out = self.in_order(args[0], x.name == "collect")
         else:
@@ -871,6 +898,11 @@ class Expressions:
         self.agg[name] = out
         return F.lit(None)
 
+    def by_value(self, name: str, text: str, args: list[Column], made: Callable[..., Column]) -> Column:
+        """An aggregate of the distinct values of args in a group: made gets their columns, how often each occurs and its first place."""
+        self.agg.setdefault(" values", {})[name] = (text, args, made)
+        return F.lit(None)
+
     def in_order(self, x: Column, skip_nulls: bool) -> Column:
         """A list in the order of the scope's sort keys, wherever its rows come from."""
         order = self.scope.order

@@ -253,3 +253,26 @@ def test_conditions_on_the_ends_come_before_shortest_paths(g):
 def test_collect_keeps_the_order_of_with(g):
     q = "UNWIND [[1, 3], [1, 1], [2, 9], [1, null], [1, 2]] AS x WITH x ORDER BY x[1] DESC RETURN x[0] AS k, collect(x[1]) AS c, head(collect(x[1])) AS h, list(x[1]) AS l"
     assert rows(g, q) == [(1, [3, 2, 1], 3, [None, 3, 2, 1]), (2, [9], 9, [9])]
+
+
+def test_aggregates_hold_no_group_in_memory(g):
+    lines = "UNWIND range(1, 60) AS x WITH x, CASE WHEN x % 4 = 0 THEN null ELSE x % 4 END AS v, CASE WHEN x > 40 THEN null ELSE 'k' END AS k "
+    df = g.sql(lines + "RETURN k, size(list(v)) AS l, size(collect(v)) AS c, size(array_agg(DISTINCT v)) AS d, histogram(v) AS h, product(DISTINCT v) AS p, count(*) AS n").df
+    got = {r["k"]: (r["l"], r["c"], r["d"], r["h"], r["p"], r["n"]) for r in df.collect()}
+    assert got == {"k": (40, 30, 4, {"1": 10, "2": 10, "3": 10}, 6.0, 40), None: (20, 15, 4, {"1": 5, "2": 5, "3": 5}, 6.0, 20)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("collect_list") == 1  # of the counted values
+    assert rows(g, "UNWIND [3, 1, 3, null, 2, 1] AS x RETURN list(DISTINCT x) AS l, size(list(DISTINCT x)) AS n") == [([3, 1, None, 2], 4)]
+    assert rows(g, "UNWIND [1] AS x WITH x WHERE x > 1 RETURN size(list(x)) AS l, histogram(x) AS h, size(list(DISTINCT x)) AS d") == [(0, {}, 0)]
+
+
+def test_aggregates_of_values_see_the_same_rows(g):
+    for text in ("WITH x, random() AS r RETURN r < 0.5 AS k", "WITH x ORDER BY random() LIMIT 50 RETURN x % 3 AS k", "WITH x, null AS y LIMIT 50 RETURN random() < 0.5 AS k, count(y) AS c"):
+        got = g.sql(f"UNWIND range(1, 200) AS x {text}, count(*) AS n, max(x) AS m, size(list(DISTINCT x)) AS d, histogram(x) AS h").df.collect()
+        assert got and all(r["n"] == r["d"] == len(r["h"]) and max(map(int, r["h"])) == r["m"] for r in got)
+
+
+def test_fsum_keeps_small_values_beside_large_ones(g):
+    assert rows(g, "UNWIND [10000000000000000.0, 1.0, -10000000000000000.0, null] AS x RETURN fsum(x) AS s, kahan_sum(x) AS k, round(favg(x), 6) AS a") == [(1.0, 1.0, 0.333333)]
+    assert rows(g, "UNWIND range(1, 100000) AS x WITH 0.1 AS x RETURN fsum(x) AS s") == [(10000.0,)]
+    assert rows(g, "UNWIND [1.0e300, 0.5, -1.0e300] AS x RETURN fsum(x) IS NOT NULL AS s, favg(null) AS a") == [(True, None)]
